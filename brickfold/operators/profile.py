@@ -41,11 +41,10 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, by: Seq
     """Per column: type, NULL count and share, distinct count, smallest sample values, personal-data mark."""
     cols = [c for c in (columns or df.columns) if c not in by]
     counts = value_counts(df, cols, by)
-    first = W.partitionBy(*by, "column").orderBy("value")
+    first = W.partitionBy(*by, "column").orderBy(F.asc_nulls_last("value"))
     picks = (
-        counts.filter(F.col("value").isNotNull())
-        .withColumn("rn", F.row_number().over(first))
-        .filter(F.col("rn") <= samples)
+        counts.withColumn("rn", F.row_number().over(first))
+        .filter((F.col("rn") <= samples) & F.col("value").isNotNull())
         .groupBy(*by, "column")
         .agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("sample_values"))
     )

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from ..session import SMALL_BYTES, plan_bytes, written
+from ..session import SMALL_BYTES, is_narrow, plan_bytes, written
 from .joins import attach, keyed_join
 
 ACCURACY = 20_000
@@ -120,6 +120,8 @@ def exact_quantiles(
     targets = [(c, float(p)) for c, ps in wanted.items() for p in ps]
     cols = list(wanted)
     narrow = df.select(*keys, *[F.col(c).cast("double").alias(c) for c in cols])
+    if plan_bytes(narrow) > small_bytes and not is_narrow(narrow):
+        narrow = written(narrow, "values")  # read twice below: do not repeat the joins behind it
     if plan_bytes(narrow) <= small_bytes:
         aggs = [F.percentile(c, F.lit(p)).alias(f"{c}_q{i}") for c, ps in wanted.items() for i, p in enumerate(ps)]
         return narrow.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("rows"))

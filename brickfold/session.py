@@ -70,6 +70,12 @@ def settled(df: DataFrame, name: str = "state", limit_bytes: int = SMALL_BYTES)
     return df if plan_bytes(df) <= limit_bytes else written(df, name)
 
 
+def is_narrow(df: DataFrame) -> bool:
+    """True when re-reading ``df`` repeats no shuffle or join (a scan with row-wise work on top)."""
+    tree = df._jdf.queryExecution().optimizedPlan().toString()
+    return not any(word in tree for word in ("Join", "Aggregate", "Window", "Sort", "Distinct"))
+
+
 def plan_bytes(df: DataFrame) -> int:
     """The optimizer's size estimate: exact file sizes for a written table, an upper bound otherwise."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
