@@ -114,7 +114,7 @@ def verdicts(r2: Column, within: Column, rows: Column, p95: Column | None = None
 
 
 def summary_line(name: Column, passed: Column, r2: Column, mae: Column, within: Column, p95: Column | None = None) -> Column:
-    latency = F.lit("n/a") if p95 is None else F.coalesce(F.format_string("%.1f", p95), F.lit("n/a"))
+    latency = F.lit("n/a") if p95 is None else F.when(p95.isNotNull(), F.format_string("%.1f", p95)).otherwise(F.lit("n/a"))
     return F.concat(
         F.when(passed, "[PASS] ").otherwise("[FAIL] "), name,
         F.format_string(" R²=%.4f (≥0.80) MAE=₹%.0f within±15%%=%.1f%% (≥70%%) latency_p95=", r2, mae, within * 100),
