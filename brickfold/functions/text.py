@@ -15,6 +15,12 @@ PRICE_UNITS = {"cr": 1e7, "l": 1e5, "lac": 1e5, "lakh": 1e5}
 AREA_UNITS = {"sqft": 1.0, "sqm": SQFT_PER_SQM}
 PRICE_SHAPE = r"^\s*(\d+(?:\.\d+)?)\s*([A-Za-z.]+)?\s*$"
 AREA_SHAPE = r"^\s*(\d+(?:\.\d+)?)(?:\s*-\s*(\d+(?:\.\d+)?))?\s*([A-Za-z.]+)?\s*$"
+# Unicode white space, then tags, links and mail addresses in text whose only space is ' '. A mail
+# address starts where a word starts, which keeps the search linear in the text.
+SPACES = r"(?U)[\s\x1c-\x1f]+"
+TAG = r"<[^>]+>"
+LINK = r"https?://[^ ]+|www\.[^ ]+"
+MAIL = r"(?<![^ ])[^ ]+@[^ ]+"
 TRANSACTION_CODES = {1.0: "Sale", 2.0: "Rent"}
 MISSING_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
                   "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -36,10 +42,9 @@ def normal_unit(c: Column) -> Column:
 
 
 def _unit_factor(unit: Column, table: dict[str, float]) -> Column:
-    out = F.when(unit.isNull(), F.lit(1.0))
-    for name, factor in table.items():
-        out = out.when(unit == name, F.lit(factor))
-    return out
+    """Factor of a unit word, 1 without one, NULL when unknown; the word is computed once per row."""
+    book = F.create_map(F.lit(""), F.lit(1.0), *[F.lit(x) for pair in table.items() for x in pair])
+    return F.try_element_at(book, F.coalesce(unit, F.lit("")))
 
 
 def parse_price(c: Column, low: Column | None = None, high: Column | None = None) -> Column:
@@ -89,19 +94,17 @@ def clean_description(c: Column) -> Column:
     Only text containing ``&`` visits Python; the rest stays in the JVM.
     """
     text = F.coalesce(_decode_entities(F.when(c.contains("&"), c)), c)
-    for shape in (r"<[^>]+>", r"(?U)https?://\S+|www\.\S+", r"(?U)\S+@\S+"):
+    for shape in (SPACES, TAG, LINK, MAIL):
         text = F.regexp_replace(text, shape, " ")
-    return F.trim(F.regexp_replace(F.lower(text), r"(?U)\s+", " "))
+    return F.trim(F.regexp_replace(F.lower(text), " +", " "))
 
 
 _DICT_JSON = {"allowSingleQuotes": "true", "allowBackslashEscapingAnyCharacter": "true"}
 
 
 def dict_text(c: Column, schema: str) -> Column:
-    """A printed Python dict as a struct of strings; NULL where it is malformed."""
-    body = c
-    for word, twin in (("None", "null"), ("True", "true"), ("False", "false")):
-        body = F.regexp_replace(body, rf"(:\s*){word}(\s*[,}}])", f"$1{twin}$2")
+    """A printed Python dict as a struct of strings (bare words read as NULL); NULL where it is malformed."""
+    body = F.regexp_replace(c, r"(:\s*)(?:None|True|False)(\s*[,}])", "$1null$2")
     return F.from_json(body, schema, _DICT_JSON)
 
 

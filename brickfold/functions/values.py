@@ -124,4 +124,5 @@ def summary_line(name: Column, passed: Column, r2: Column, mae: Column, within:
 
 def first_problems(checks: Sequence[tuple[Column, str]]) -> Column:
     """Array of the messages whose condition is true."""
-    return F.array_compact(F.array(*[F.when(bad, F.lit(msg)) for bad, msg in checks]))
+    none = F.array().cast("array<string>")
+    return F.concat(*[F.when(bad, F.array(F.lit(msg))).otherwise(none) for bad, msg in checks])

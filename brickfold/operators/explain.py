@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -34,36 +34,42 @@ FEATURE_LABELS = {
 
 
 def linear_contributions(values: Mapping[str, Column], coefficients: Mapping[str, float], means: Mapping[str, float]) -> Column:
-    """array<struct(feature, impact)>: coefficient times distance from the mean."""
-    return F.array(*[
-        F.struct(
-            F.lit(f).alias("feature"),
-            (F.lit(float(coefficients[f])) * (F.coalesce(v.cast("double"), F.lit(means[f])) - F.lit(means[f]))).alias("impact"),
-        )
-        for f, v in values.items()
-    ])
+    """array<struct(o, feature, impact)>: coefficient times distance from the mean; ``o`` sorts the largest first."""
+
+    def one(f: str, v: Column) -> Column:
+        impact = F.lit(float(coefficients[f])) * (F.coalesce(v.cast("double"), F.lit(means[f])) - F.lit(means[f]))
+        return F.struct((-F.abs(impact)).alias("o"), F.lit(f).alias("feature"), impact.alias("impact"))
+
+    return F.array(*[one(f, v) for f, v in values.items()])
 
 
 def top_contributions(contributions: Column, k: int = TOP_CONTRIBUTIONS) -> Column:
-    """The k largest by absolute impact (ties by name), sorted inside the row: nothing is shuffled."""
-    keyed = F.transform(contributions, lambda s: F.struct((-F.abs(s["impact"])).alias("o"), s["feature"].alias("feature"), s["impact"].alias("impact")))
-    best = F.slice(F.array_sort(keyed), 1, k)
-    return F.transform(best, lambda s: F.struct(s["feature"].alias("feature"), s["impact"].alias("impact"), direction(s["impact"]).alias("direction")))
+    """array<struct(o, feature, impact)>: the k largest by absolute impact (ties by name).
+
+    Sorted inside the row with the built-in comparator: nothing is shuffled.
+    """
+    return F.slice(F.sort_array(contributions), 1, k)
+
 
+def contribution_rows(df: DataFrame, top: str) -> DataFrame:
+    """One row per contribution: position, feature, impact, both directions and the share of the row's largest impact.
 
-def display_rows(top: Column) -> Column:
-    """Adds the page direction (zero is neutral) and the share of the row's largest impact (all zero -> 0)."""
-    peak = F.array_max(F.transform(top, lambda s: F.abs(s["impact"])))
-    scale = F.when(peak == 0, F.lit(1.0)).otherwise(peak)
-    return F.transform(top, lambda s: F.struct(
-        s["feature"].alias("feature"), s["impact"].alias("impact"),
-        direction(s["impact"], neutral=True).alias("direction"), (s["impact"] / scale).alias("pct")))
+    ``direction`` calls zero down, ``shown_as`` calls it neutral; an all-zero row has share 0.
+    """
+    keep = [c for c in df.columns if c != top]
+    long = df.select(*keep, (-F.get(top, F.lit(0))["o"]).alias("__peak"), F.posexplode(top).alias("position", "__c"))
+    impact = F.col("__c.impact")
+    scale = F.when(F.col("__peak") == 0, F.lit(1.0)).otherwise(F.col("__peak"))
+    return long.select(
+        *keep, "position", F.col("__c.feature").alias("feature"), impact.alias("impact"), direction(impact).alias("direction"),
+        direction(impact, neutral=True).alias("shown_as"), (impact / scale).alias("pct"))
 
 
-def direction_counts(df: DataFrame, rows: str, key: str) -> DataFrame:
-    up = F.size(F.filter(rows, lambda s: s["direction"] == "up"))
-    down = F.size(F.filter(rows, lambda s: s["direction"] == "down"))
-    return df.select(key, up.alias("up"), down.alias("down"))
+def direction_counts(df: DataFrame, top: str, keys: Sequence[str], k: int = TOP_CONTRIBUTIONS) -> DataFrame:
+    """Up and down counts of each row's top contributions, without a shuffle."""
+    impacts = [F.get(top, F.lit(i))["impact"] for i in range(k)]
+    count = lambda test: sum((F.coalesce(test(x).cast("int"), F.lit(0)) for x in impacts), F.lit(0))
+    return df.select(*keys, count(lambda x: x > 0).alias("up"), count(lambda x: x <= 0).alias("down"))
 
 
 def mean_abs_impact(df: DataFrame, contributions: str) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -64,9 +65,11 @@ def flag_outliers(
     joined = attach(df, f, [group], rows_col="rows", null_safe=False)
     named = [(outside(c, k), f"{label}_{c}") for c in columns for k, label in (("tail", "percentile"), ("iqr", "iqr"))]
     named += [(over_room_cap(c, cap, type_col, exempt), f"domain_{c}") for c, cap in caps.items()]
-    reasons = F.array_compact(F.array(*[F.when(bad, F.lit(name)) for bad, name in named]))
+    none = F.array().cast("array<string>")
+    reasons = F.concat(*[F.when(bad, F.array(F.lit(name))).otherwise(none) for bad, name in named])
+    any_bad = reduce(lambda a, b: a | b, [bad for bad, _ in named])
     kept = [c for c in df.columns if c not in ("outlier_reasons", "is_outlier")]
-    return joined.select(*kept, reasons.alias("outlier_reasons")).withColumn("is_outlier", F.size("outlier_reasons") > 0)
+    return joined.select(*kept, reasons.alias("outlier_reasons"), any_bad.alias("is_outlier"))
 
 
 def outlier_summary(df: DataFrame, group: str = "city") -> DataFrame:

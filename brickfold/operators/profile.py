@@ -46,7 +46,7 @@ def profile_columns(df: DataFrame, columns: Sequence[str] | None = None, by: Seq
         counts.withColumn("rn", F.row_number().over(first))
         .filter((F.col("rn") <= samples) & F.col("value").isNotNull())
         .groupBy(*by, "column")
-        .agg(F.array_join(F.array_sort(F.collect_list("value")), "|").alias("sample_values"))
+        .agg(F.array_join(F.sort_array(F.collect_list("value")), "|").alias("sample_values"))
     )
     stats = counts.groupBy(*by, "column").agg(
         F.sum("n").alias("rows"),

@@ -123,8 +123,9 @@ def exact_quantiles(
     if plan_bytes(narrow) > small_bytes and not is_narrow(narrow):
         narrow = written(narrow, "values")  # read twice below: do not repeat the joins behind it
     if plan_bytes(narrow) <= small_bytes:
-        aggs = [F.percentile(c, F.lit(p)).alias(f"{c}_q{i}") for c, ps in wanted.items() for i, p in enumerate(ps)]
-        return narrow.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("rows"))
+        aggs = [F.percentile(c, [float(p) for p in ps]).alias(c) for c, ps in wanted.items()]
+        picks = [F.get(c, F.lit(i)).alias(f"{c}_q{i}") for c, ps in wanted.items() for i in range(len(ps))]
+        return narrow.groupBy(*keys).agg(*aggs, F.count(F.lit(1)).alias("rows")).select(*keys, *picks, "rows")
     grouped = keys or ["__all"]
     if not keys:
         narrow = narrow.withColumn("__all", F.lit(0))

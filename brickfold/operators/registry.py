@@ -43,14 +43,14 @@ def next_version(registry: DataFrame, artifact: str = "artifact", stems: Sequenc
 
 def feature_hash(df: DataFrame, name: str, by: Sequence[str] = ()) -> DataFrame:
     """First 16 hex digits of the sha256 of the sorted distinct names (a column list, not data)."""
-    names = F.array_join(F.array_sort(F.collect_set(name)), "\n")
+    names = F.array_join(F.sort_array(F.collect_set(name)), "\n")
     return df.groupBy(*by).agg(F.substring(F.sha2(names, 256), 1, 16).alias("feature_hash"))
 
 
 def label_map_hash(df: DataFrame, feature: str = "feature", label: str = "label") -> DataFrame:
     """sha1 of the sorted {feature: label} JSON."""
     entry = F.concat(F.lit('"'), F.col(feature), F.lit('": "'), F.col(label), F.lit('"'))
-    body = F.array_join(F.transform(F.array_sort(F.collect_set(F.struct(feature, entry.alias("e")))), lambda s: s["e"]), ", ")
+    body = F.array_join(F.transform(F.sort_array(F.collect_set(F.struct(feature, entry.alias("e")))), lambda s: s["e"]), ", ")
     return df.agg(F.sha1(F.concat(F.lit("{"), body, F.lit("}"))).alias("label_map_hash"))
 
 

@@ -108,6 +108,8 @@ def parse_price_text(spark, d):
         .otherwise(F.concat("x", F.lit(" L Onwards"))))
     low = F.when(F.col("o_orderstatus") == "F", F.lit("n/a")).otherwise(F.col("x"))
     high = F.concat(F.lit(" "), F.col("o_custkey").cast("string"))
+    o = o.select("o_orderkey", raw.alias("raw"), low.alias("low"), high.alias("high"))
+    raw, low, high = F.col("raw"), F.col("low"), F.col("high")
     return o.select("o_orderkey", F.round(tx.parse_price(raw, low, high), 3).alias("price"), F.round(tx.parse_price(raw), 3).alias("price_alone"))
 
 

@@ -466,9 +466,9 @@ _ID = "l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice"
 
 @query
 def top_contributions(spark, d):
-    e = _explained(spark, d).withColumn("top", explain.display_rows(explain.top_contributions(F.col("contributions"), 2)))
-    return e.select(*_ID.split(", "), F.posexplode("top").alias("position", "t")).select(
-        *_ID.split(", "), "position", "t.feature", F.round("t.impact", 6).alias("impact"), "t.direction", F.round("t.pct", 6).alias("pct"))
+    e = _explained(spark, d).select(*_ID.split(", "), explain.top_contributions(F.col("contributions"), 2).alias("top"))
+    return explain.contribution_rows(e, "top").select(
+        *_ID.split(", "), "position", "feature", F.round("impact", 6).alias("impact"), F.col("shown_as").alias("direction"), F.round("pct", 6).alias("pct"))
 
 
 SQL["top_contributions"] = f"""WITH {_CONTRIB_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY {_ID} ORDER BY abs(impact) DESC, feature) AS rn FROM contrib),
@@ -489,7 +489,7 @@ SQL["mean_abs_impact"] = f"WITH {_CONTRIB_SQL} SELECT feature, CASE WHEN feature
 @query
 def direction_counts(spark, d):
     e = _explained(spark, d).withColumn("top", explain.top_contributions(F.col("contributions"), 3))
-    return explain.direction_counts(e, "top", "l_orderkey").groupBy("up", "down").agg(F.count(F.lit(1)).alias("n"))
+    return explain.direction_counts(e, "top", ["l_orderkey"], 3).groupBy("up", "down").agg(F.count(F.lit(1)).alias("n"))
 
 
 SQL["direction_counts"] = f"""WITH {_CONTRIB_SQL}, g AS (SELECT l_orderkey, (l_quantity > 25)::INT + (-900e0 * (l_discount - 0.05e0) > 0)::INT + (400e0 * (l_tax - 0.04e0) > 0)::INT AS up FROM lineitem)

@@ -176,11 +176,11 @@ def test_permutation_importance_finds_the_used_feature(spark):
 def test_contributions(spark):
     df = spark.createDataFrame([(1, 5.0, 1.0, 0.0), (2, 0.0, 0.0, None)], "k int, a double, b double, c double")
     c = explain.linear_contributions({x: F.col(x) for x in "abc"}, {"a": 1.0, "b": -3.0, "c": 2.0}, {"a": 0.0, "b": 0.0, "c": 0.0})
-    top = explain.top_contributions(c, 2)
-    r = {x["k"]: x for x in df.select("k", top.alias("t"), explain.display_rows(top).alias("d")).collect()}
-    assert [tuple(x) for x in r[1]["t"]] == [("a", 5.0, "up"), ("b", -3.0, "down")]
-    assert [round(x["pct"], 3) for x in r[1]["d"]] == [1.0, -0.6]
-    assert [x["direction"] for x in r[2]["d"]] == ["neutral", "neutral"] and [x["pct"] for x in r[2]["d"]] == [0.0, 0.0]
+    tops = df.select("k", explain.top_contributions(c, 2).alias("t"))
+    r = {(x["k"], x["position"]): x for x in explain.contribution_rows(tops, "t").collect()}
+    assert [(r[1, i]["feature"], r[1, i]["impact"], r[1, i]["direction"], round(r[1, i]["pct"], 3)) for i in (0, 1)] == [("a", 5.0, "up", 1.0), ("b", -3.0, "down", -0.6)]
+    assert [(r[2, i]["shown_as"], r[2, i]["direction"], r[2, i]["pct"]) for i in (0, 1)] == [("neutral", "down", 0.0)] * 2
+    assert {tuple(x) for x in explain.direction_counts(tops, "t", ["k"], 2).collect()} == {(1, 1, 1), (2, 0, 2)}
     labels = explain.with_labels(spark.createDataFrame([("num__bedRoom",), ("zz",)], "feature string"), explain.static_labels(spark))
     assert {x["feature"]: x["label"] for x in labels.collect()} == {"num__bedRoom": "Bedrooms", "zz": "zz"}
 
