@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import market, metrics
+from ..operators.joins import attach
 from .common import ITEMS_SQL, items, table
 
 QUERIES: dict = {}
@@ -73,7 +74,7 @@ def deal_verdicts(spark, d):
     o = table(spark, d, "orders").withColumn("fold", market.fold_of(F.col("o_orderkey"), 5))
     parts = o.groupBy("o_orderstatus", "fold").agg(F.sum(F.floor("o_totalprice")).alias("s"), F.count(F.lit(1)).alias("n"))
     whole = parts.groupBy("o_orderstatus").agg(F.sum("s").alias("st"), F.sum("n").alias("nt"))
-    j = o.join(F.broadcast(parts), ["o_orderstatus", "fold"]).join(F.broadcast(whole), "o_orderstatus")
+    j = attach(attach(o, parts, ["o_orderstatus", "fold"]), whole, ["o_orderstatus"])
     out_of_fold = (F.col("st") - F.col("s")) / (F.col("nt") - F.col("n"))
     return j.select("o_orderkey", "fold", market.deal_verdict(F.col("o_totalprice"), out_of_fold).alias("verdict"))
 
