@@ -124,12 +124,12 @@ KEYS = ["city", "locality"]
 def _parted(spark, d) -> DataFrame:
     """Items with a train mark, an outlier mark and a city unknown on some rows; whole numbers keep sums exact."""
     return items(spark, d).selectExpr(
-        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "CASE WHEN l_linenumber <> 6 THEN city END AS city", "concat(locality, '-', l_linenumber) AS locality",
-        "cast(floor(price_inr) AS double) AS price_inr", "CASE WHEN l_tax > 0.01D THEN area_sqft END AS price_per_sqft", "l_discount > 0.08D AS is_outlier", "l_suppkey > 20 AS in_train")
+        "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "CASE WHEN l_linenumber <> 6 THEN city END AS city", "concat(locality, '-', cast(area_sqft AS int)) AS locality",
+        "cast(floor(price_inr) AS double) AS price_inr", "CASE WHEN l_tax > 0.01D THEN cast(l_linenumber AS double) END AS price_per_sqft", "l_discount > 0.08D AS is_outlier", "l_tax < 0.07D AS in_train")
 
 
-_PARTED_SQL = ITEMS_SQL + """, parted AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber <> 6 THEN city END AS city, locality || '-' || l_linenumber AS locality,
-CAST(floor(price_inr) AS DOUBLE) AS price_inr, CASE WHEN l_tax > 0.01e0 THEN area_sqft END AS price_per_sqft, l_discount > 0.08e0 AS is_outlier, l_suppkey > 20 AS in_train FROM items),
+_PARTED_SQL = ITEMS_SQL + """, parted AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_linenumber <> 6 THEN city END AS city, locality || '-' || CAST(area_sqft AS INTEGER) AS locality,
+CAST(floor(price_inr) AS DOUBLE) AS price_inr, CASE WHEN l_tax > 0.01e0 THEN CAST(l_linenumber AS DOUBLE) END AS price_per_sqft, l_discount > 0.08e0 AS is_outlier, l_tax < 0.07e0 AS in_train FROM items),
 st AS (SELECT city, locality, count(*) FILTER (NOT is_outlier) AS group_rows, coalesce(sum(price_inr) FILTER (NOT is_outlier), 0) AS sp, coalesce(sum(price_per_sqft) FILTER (NOT is_outlier), 0) AS su FROM parted WHERE in_train GROUP BY ALL),
 pr AS (SELECT city, avg(price_per_sqft) AS prior FROM parted WHERE in_train AND NOT is_outlier AND city IS NOT NULL GROUP BY city),
 j AS (SELECT p.*, coalesce(group_rows, 0) AS n, coalesce(sp, 0) AS sp, coalesce(su, 0) AS su, coalesce(prior, 0) AS prior FROM parted p
@@ -247,9 +247,9 @@ def _predicted(spark, d) -> DataFrame:
 
 
 _PRED_SQL = _split_sql("orders", "o_orderstatus", "o_orderkey") + """, pred AS (SELECT *, o_totalprice AS y, o_totalprice * (0.8e0 + (o_custkey % 5) * 0.1e0) AS p FROM parts)"""
-_METRIC_SQL = """count(*) AS n, round(1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)), 6) AS r2, round(avg(abs(p - y)), 3) AS mae, round(sqrt(avg((p - y) * (p - y))), 3) AS rmse,
+_METRIC_SQL = """count(*) AS n, round(1 - sum((p - y) * (p - y)) / (var_pop(y) * count(*)), 6) AS r2, round(avg(abs(p - y)), 6) AS mae, round(sqrt(avg((p - y) * (p - y))), 6) AS rmse,
 round(avg(abs(p - y) / greatest(y, 1)) * 100, 5) AS mape"""
-_ROUND = {"r2": 6, "mae": 3, "rmse": 3, "mape": 5}
+_ROUND = {"r2": 6, "mae": 6, "rmse": 6, "mape": 5}
 
 
 def _rounded():

@@ -6,7 +6,7 @@ import __spark_entry__ as entry
 
 FOLDER = "/root/testdata/sf0.001"
 WITHOUT_SQL = {"file_manifest", "folder_hash", "dataset_fingerprint", "train_and_pick", "candidate_sweep", "tree_importance"}
-SAMPLE = ("outlier_summary", "parse_area_text", "lookup_decode", "dedup_coalesce", "group_fill", "locality_encoding", "stratified_split", "metrics_by_slice", "request_validation")
+SAMPLE = ("outlier_summary", "parse_area_text", "lookup_decode", "dedup_coalesce", "group_fill", "locality_encoding", "stratified_split", "within_tolerance", "request_validation")
 
 
 def test_every_query_has_sql_but_the_known_few():
