@@ -8,6 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
+_own_roots: dict[str, str] = {}
 
 
 def build_session(app: str = "brickfold", master: str | None = None, shuffle: int | None = None) -> SparkSession:
@@ -38,9 +39,10 @@ def scratch_root(spark: SparkSession) -> str:
         return root.rstrip("/")
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError(f"{CHECKPOINT_CONF} must name a shared folder on a cluster")
-    root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    spark.conf.set(CHECKPOINT_CONF, root)
-    return root
+    app = spark.sparkContext.applicationId
+    if app not in _own_roots:
+        _own_roots[app] = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    return _own_roots[app]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
