@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact
+from . import bpe, exact, token_counts
 from .common import documents
 
 
@@ -12,6 +12,14 @@ def op10_exact_dedup(spark: SparkSession, folder: str) -> DataFrame:
     return exact.exact_groups(documents(spark, folder))
 
 
-QUERIES = {"op10_exact_dedup": op10_exact_dedup}
+def op4_byte_bpe(spark: SparkSession, folder: str) -> DataFrame:
+    return bpe.round_trip(documents(spark, folder))
+
+
+def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return token_counts.token_counts(documents(spark, folder))
+
+
+QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op6_token_counts": op6_token_counts, "op10_exact_dedup": op10_exact_dedup}
 
 SQL = {"op10_exact_dedup": exact.SQL}
