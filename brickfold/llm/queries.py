@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, token_counts
+from . import bpe, exact, secrets, token_counts, toxicity
 from .common import documents
 
 
@@ -20,6 +20,14 @@ def op6_token_counts(spark: SparkSession, folder: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, folder))
 
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op6_token_counts": op6_token_counts, "op10_exact_dedup": op10_exact_dedup}
+def op5_secrets(spark: SparkSession, folder: str) -> DataFrame:
+    return secrets.secret_report(documents(spark, folder))
+
+
+def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity_report(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op5_secrets": op5_secrets, "op7_toxicity": op7_toxicity, "op6_token_counts": op6_token_counts, "op10_exact_dedup": op10_exact_dedup}
 
 SQL = {"op10_exact_dedup": exact.SQL}
