@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, secrets, token_counts, toxicity
+from . import bpe, exact, mixing, quality, secrets, token_counts, toxicity
 from .common import documents
 
 
@@ -28,6 +28,14 @@ def op7_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity_report(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
 
 
-QUERIES = {"op4_byte_bpe": op4_byte_bpe, "op5_secrets": op5_secrets, "op7_toxicity": op7_toxicity, "op6_token_counts": op6_token_counts, "op10_exact_dedup": op10_exact_dedup}
+def op3_mixing(spark: SparkSession, folder: str) -> DataFrame:
+    return mixing.mixing_report(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality_report(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
+
+
+QUERIES = {"op3_mixing": op3_mixing, "op8_quality_rules": op8_quality_rules, "op4_byte_bpe": op4_byte_bpe, "op5_secrets": op5_secrets, "op7_toxicity": op7_toxicity, "op6_token_counts": op6_token_counts, "op10_exact_dedup": op10_exact_dedup}
 
 SQL = {"op10_exact_dedup": exact.SQL}
