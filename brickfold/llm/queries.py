@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, mixing, quality, secrets, token_counts, toxicity
+from . import bpe, exact, mixing, quality, secrets, simhash, token_counts, toxicity
 from .common import documents
 
 
@@ -36,6 +36,10 @@ def op8_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality_report(documents(spark, folder), spark.read.parquet(f"{folder}/labels.parquet"))
 
 
-QUERIES = {"op3_mixing": op3_mixing, "op8_quality_rules": op8_quality_rules, "op4_byte_bpe": op4_byte_bpe, "op5_secrets": op5_secrets, "op7_toxicity": op7_toxicity, "op6_token_counts": op6_token_counts, "op10_exact_dedup": op10_exact_dedup}
+def op1_simhash(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, folder))
+
+
+QUERIES = {"op1_simhash": op1_simhash, "op3_mixing": op3_mixing, "op8_quality_rules": op8_quality_rules, "op4_byte_bpe": op4_byte_bpe, "op5_secrets": op5_secrets, "op7_toxicity": op7_toxicity, "op6_token_counts": op6_token_counts, "op10_exact_dedup": op10_exact_dedup}
 
 SQL = {"op10_exact_dedup": exact.SQL}
