@@ -22,27 +22,43 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .merging import NEVER, Remembered, merge
+from .merging import NEVER, PRE_TOKENS, Remembered, merge
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bytes up to which a piece is merged directly.
-LEAF = 24
+LEAF = 32
 
 
 class Codec:
-    def __init__(self, rank_file: bytes, pattern: str = public_tokenizers.PATTERN, leaf: int = LEAF):
+    def __init__(self, rank_file: bytes, pattern: str = PRE_TOKENS, leaf: int = LEAF):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
         self.tokens = {b: a for a, b in self.ranks.items()}
         self.split = regex.compile(pattern).findall
         self.leaf = leaf
-        self.known = Remembered(lambda s: self.pre_token(s.encode()))
+        # ids of a pre-token packed as int32, so that a text's ids are one concatenation
+        self.known = Remembered(lambda s: np.array(self.pre_token(s.encode()), np.int32).tobytes())
+        lengths = np.zeros(max(self.tokens, default=-1) + 1, np.int64)
+        for t, b in self.tokens.items():
+            lengths[t] = len(b)
+        self.lengths, self.starts = lengths, np.cumsum(lengths) - lengths
+        self.alphabet = np.frombuffer(b"".join(self.tokens[t] for t in sorted(self.tokens)), np.uint8)
 
     def direct(self, data: bytes) -> list[int]:
-        if data in self.ranks and len(data) == 1:
-            return [self.ranks[data]]
         get = self.ranks.get
-        parts = merge([data[i : i + 1] for i in range(len(data))], lambda a, b: get(a + b, NEVER), lambda a, b: a + b)
-        return [self.ranks[p] for p in parts]
+        if len(data) > 64:
+            parts = merge([data[i : i + 1] for i in range(len(data))], lambda a, b: get(a + b, NEVER), lambda a, b: a + b)
+            return [self.ranks[p] for p in parts]
+        # short pieces: cuts between parts, and beside each cut the rank of the parts around it joined
+        cuts = list(range(len(data) + 1))
+        ranks = [get(data[i : i + 2], NEVER) for i in range(len(data) - 1)]
+        while ranks and (best := min(ranks)) != NEVER:
+            i = ranks.index(best)
+            del cuts[i + 1], ranks[i]
+            if i:
+                ranks[i - 1] = get(data[cuts[i - 1] : cuts[i + 1]], NEVER)
+            if i < len(ranks):
+                ranks[i] = get(data[cuts[i] : cuts[i + 2]], NEVER)
+        return [self.ranks[data[a:b]] for a, b in zip(cuts, cuts[1:])]
 
     def joined(self, left: list[int], right: list[int]) -> list[int]:
         if not left or not right:
@@ -68,11 +84,22 @@ class Codec:
         middle = len(data) // 2
         return self.joined(self.piece(data[:middle]), self.piece(data[middle:]))
 
+    def packed(self, text: str) -> bytes:
+        return b"".join(map(self.known.__getitem__, self.split(text)))
+
     def encode(self, text: str) -> list[int]:
-        return list(chain.from_iterable(map(self.known.__getitem__, self.split(text))))
+        return np.frombuffer(self.packed(text), np.int32).tolist()
+
+    def decode_array(self, ids: np.ndarray) -> np.ndarray:
+        """The bytes of the ids, one after the other: each output byte's place among all tokens' bytes, gathered at once."""
+        n = self.lengths[ids]
+        if (n == 0).any():
+            raise KeyError("an id outside the vocabulary")
+        ends = np.cumsum(n)
+        return self.alphabet[np.repeat(self.starts[ids] - (ends - n), n) + np.arange(ends[-1] if len(ends) else 0)]
 
     def decode(self, ids) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+        return self.decode_array(np.asarray(ids, np.int64)).tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -87,14 +114,9 @@ def encoder(spark: SparkSession, rank_path: str = RANKS):
     @F.arrow_udf("array<int>")
     def encode(texts: pa.Array) -> pa.Array:
         own = codec(ranks.value)
-        ends, out = [0], []
-        at = 0
-        for t in texts:
-            ids = own.encode(t.as_py() or "")
-            at += len(ids)
-            ends.append(at)
-            out.append(np.array(ids, np.int32))
-        return pa.ListArray.from_arrays(pa.array(np.array(ends, np.int32)), pa.array(np.concatenate(out) if out else np.zeros(0, np.int32)))
+        coded = [own.packed(t.as_py() or "") for t in texts]
+        ends = np.cumsum([0, *map(len, coded)]) // 4
+        return pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(np.frombuffer(b"".join(coded), np.int32)))
 
     return encode
 
@@ -106,7 +128,7 @@ def decoder(spark: SparkSession, rank_path: str = RANKS):
     @F.arrow_udf("binary")
     def decode(ids: pa.Array) -> pa.Array:
         own = codec(ranks.value)
-        return pa.array([own.decode(x.values.to_pylist() if x.is_valid else ()) for x in ids], pa.binary())
+        return pa.array([own.decode(x.values.to_numpy() if x.is_valid else ()) for x in ids], pa.binary())
 
     return decode
 

@@ -6,6 +6,9 @@ import heapq
 from collections.abc import Callable, Sequence
 
 
+#: The public pattern of such tokenizers, letters first: the branches start with different characters, so their order
+#: only decides how soon the common ones match; possessive, as no match here is ever shortened.
+PRE_TOKENS = r" ?\p{L}++| ?\p{N}++|'(?:[stmd]|re|ve|ll)| ?[^\s\p{L}\p{N}]++|\s+(?!\S)|\s+"
 #: The rank of neighbours that never join.
 NEVER = 1 << 60
 

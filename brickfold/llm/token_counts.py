@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .merging import NEVER, Remembered, merge
+from .merging import NEVER, PRE_TOKENS, Remembered, merge
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 LIMIT = 1024
@@ -41,7 +41,7 @@ class Counter:
         self.ranks = {tuple(p): i for i, p in enumerate(pairs)}
         self.vocab = model["vocab"]
         self.letters = byte_letters()
-        self.split = regex.compile(public_tokenizers.PATTERN).findall
+        self.split = regex.compile(PRE_TOKENS).findall
         special = sorted((t["content"] for t in spec["added_tokens"] if t["content"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.hints = special
