@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, mixing, quality, secrets, simhash, substrings, token_counts, toxicity
+from . import bpe, exact, mixing, quality, secrets, simhash, substrings, suffixes, token_counts, toxicity
 from .common import documents
 
 
@@ -44,6 +44,10 @@ def op2_substrings(spark: SparkSession, folder: str) -> DataFrame:
     return substrings.substring_report(documents(spark, folder))
 
 
-QUERIES = {"op1_simhash": op1_simhash, "op2_substrings": op2_substrings, "op3_mixing": op3_mixing, "op8_quality_rules": op8_quality_rules, "op4_byte_bpe": op4_byte_bpe, "op5_secrets": op5_secrets, "op7_toxicity": op7_toxicity, "op6_token_counts": op6_token_counts, "op10_exact_dedup": op10_exact_dedup}
+def op9_suffixes(spark: SparkSession, folder: str) -> DataFrame:
+    return suffixes.suffix_report(documents(spark, folder))
+
+
+QUERIES = {"op9_suffixes": op9_suffixes, "op1_simhash": op1_simhash, "op2_substrings": op2_substrings, "op3_mixing": op3_mixing, "op8_quality_rules": op8_quality_rules, "op4_byte_bpe": op4_byte_bpe, "op5_secrets": op5_secrets, "op7_toxicity": op7_toxicity, "op6_token_counts": op6_token_counts, "op10_exact_dedup": op10_exact_dedup}
 
 SQL = {"op10_exact_dedup": exact.SQL}
