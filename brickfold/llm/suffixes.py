@@ -1,10 +1,9 @@
-"""Substring deduplication on bytes with truncated suffix sorting of the places that can repeat.
+"""Substring deduplication on bytes by sorting the strings that can repeat.
 
 Every string of LENGTH bytes has an anchor: the leftmost gram of least hash among those it holds. Equal strings have equal anchors at
 equal offsets, so only strings that share an anchor need comparing. The strings of one anchor occurrence overlap and lie in one short
 span. Each block of documents sends its anchors and the digests of their spans; equal spans repeat as wholes, and no text is moved for them.
-Only spans whose anchor also occurs in another span are sent as text, and their suffixes are ranked by
-doubling the compared prefix up to LENGTH bytes, which tells all repeats exactly.
+Only spans whose anchor also occurs in another span are sent as text; there the strings are sorted and neighbours compared byte by byte.
 
 Sorting all suffixes by induction with queues on disk would need at least 16 bytes a suffix, some 28 times the input; see the README.
 """
@@ -70,18 +69,16 @@ class Spans:
         if not room.any():
             return
         sums, back = running(self.data, 0)
-        least = spread((sums[gram:] - sums[:-gram]) * back[: n - gram + 1])
-        grams = least
-        where = np.arange(len(least), dtype=np.int32)
+        grams = spread((sums[gram:] - sums[:-gram]) * back[: n - gram + 1])
+        # a gram's leading bits above its place: the least of some is the least gram, the leftmost of equal ones
+        least = grams & np.uint64(0xFFFFFFFF00000000) | np.arange(len(grams), dtype=np.uint64)
         reach = 1
-        while reach < width:  # least gram of the next `reach` places, doubled until it spans the window
+        while reach < width:  # least of the next `reach` places, doubled until it spans the window
             move = min(reach, width - reach)
-            later = least[move:] < least[:-move]
-            where = np.where(later, where[move:], where[:-move])
-            least = np.where(later, least[move:], least[:-move])
+            least = np.minimum(least[move:], least[:-move])
             reach += move
         starts = np.flatnonzero(room)
-        own = where[starts].astype(np.int64)
+        own = (least[starts] & np.uint64(0xFFFFFFFF)).astype(np.int64)
         new = np.ones(len(starts), bool)
         new[1:] = (own[1:] != own[:-1]) | (starts[1:] != starts[:-1] + 1)
         first = np.flatnonzero(new)
@@ -106,10 +103,8 @@ class Spans:
         self.keys = np.stack([h[self.entry], a[self.entry], b[self.entry]])
 
 
-def repeated(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
-    """Which of the strings of ``length`` at ``starts`` occur at two starts or more: ranks of prefixes of 8, 16, 32 ... bytes, then of two that overlap to ``length``."""
-    if not len(starts):
-        return np.zeros(0, bool)
+def ranked(text: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """A number for each string at ``starts``, equal for equal strings: suffix ranks by prefixes of 8, 16, 32 ... bytes, then of two that overlap to ``length``."""
     padded = np.concatenate((text, np.zeros(8, np.uint8)))
     key = np.zeros(len(text), np.uint64)
     for i in range(8):
@@ -118,13 +113,35 @@ def repeated(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.n
     while True:
         rank = np.unique(key, return_inverse=True)[1].astype(np.uint64)
         if 2 * reach > length:
-            break
+            return rank[starts] << np.uint64(32) | rank[starts + length - reach]
         key = rank << np.uint64(32)
         key[:-reach] |= rank[reach:]
         reach *= 2
-    pair = rank[starts] << np.uint64(32) | rank[starts + length - reach]
-    _, of, count = np.unique(pair, return_inverse=True, return_counts=True)
-    return count[of] > 1
+
+
+def repeated(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.ndarray:
+    """Which of the strings of ``length`` at ``starts`` occur at two starts or more.
+
+    The strings are put in the order of their digests, and neighbours of one digest are compared byte by byte. Should two
+    of them differ all the same, suffix ranks decide instead.
+    """
+    if len(starts) < 2:
+        return np.zeros(len(starts), bool)
+    sums, back = running(text, 0)
+    digest = spread((sums[starts + length] - sums[starts]) * back[starts])
+    order = np.argsort(digest)
+    digest = digest[order]
+    pairs = np.flatnonzero(digest[1:] == digest[:-1])
+    windows = np.lib.stride_tricks.sliding_window_view(text, length)
+    out = np.zeros(len(starts), bool)
+    for at in range(0, len(pairs), 1 << 15):
+        left, right = order[pairs[at : at + (1 << 15)]], order[pairs[at : at + (1 << 15)] + 1]
+        if not (windows[starts[left]] == windows[starts[right]]).all():
+            key = ranked(text, starts, length)
+            _, of, count = np.unique(key, return_inverse=True, return_counts=True)
+            return count[of] > 1
+        out[left] = out[right] = True
+    return out
 
 
 class Plan:
