@@ -24,6 +24,8 @@ from .merging import Remembered
 
 SAMPLE = 8000
 VOCABULARY = 2500
+#: Standard deviations by which a feature must exceed chance to be learnt at all.
+EVIDENCE = 3.0
 THRESHOLD = 0.3
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
@@ -65,7 +67,7 @@ class Model:
 
 
 def train(texts: list[str], toxic: list[int], vocabulary: int = VOCABULARY, rounds: int = ROUNDS) -> Model:
-    """Full-batch fit of the noisy-or likelihood on the words that tell the labels apart best."""
+    """Full-batch fit of the noisy-or likelihood on the features that toxic documents hold far more often than chance."""
     if not texts or len(set(toxic)) < 2:
         rate = np.clip(np.mean(toxic) if toxic else 0.0, 1e-4, 1 - 1e-4)
         return Model(float(np.log(rate / (1 - rate))), {})
@@ -79,7 +81,7 @@ def train(texts: list[str], toxic: list[int], vocabulary: int = VOCABULARY, roun
     rate = y.mean()
     # how many standard deviations a word's toxic documents exceed or miss what the base rate gives
     scored = {w: (in_toxic[w] - n * rate) / np.sqrt(n * rate * (1 - rate)) for w, n in in_all.items() if n >= 4}
-    chosen = sorted(scored, key=lambda w: (-abs(scored[w]), w))[:vocabulary]
+    chosen = sorted((w for w in scored if scored[w] >= EVIDENCE), key=lambda w: (-scored[w], w))[:vocabulary]
     index = {w: i for i, w in enumerate(chosen)}
     entries, of_sentence, of_doc = [], [], []
     for d, text in enumerate(texts):
@@ -100,7 +102,7 @@ def train(texts: list[str], toxic: list[int], vocabulary: int = VOCABULARY, roun
         doc = np.clip(-np.expm1(np.bincount(of_doc, np.log1p(-p), n_docs)), 1e-9, 1 - 1e-9)
         pull = np.where(y > 0, (1 - doc) / doc, -1.0)
         g = pull[of_doc] * p
-        grad = np.append(np.bincount(entries, g[of_sentence], len(chosen)), g.sum()) - 0.05 * np.append(theta[:-1], 0.0)
+        grad = np.append(np.bincount(entries, g[of_sentence], len(chosen)), g.sum()) - 0.5 * np.append(theta[:-1], 0.0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta += 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
     return Model(float(theta[-1]), {w: float(x) for w, x in zip(chosen, theta) if abs(x) > 0.2})
