@@ -24,7 +24,7 @@ from .common import written
 
 LENGTH = 200
 GRAM = 64
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 2 << 20
 #: Answers to a span: nothing shares its anchor; it repeats as a whole; it does and is also needed as text; it must be compared.
 ALONE, WHOLE, WHOLE_SENT, OPEN = range(4)
 
@@ -84,7 +84,7 @@ class Spans:
         first = np.flatnonzero(new)
         last = np.append(first[1:], len(starts)) - 1
         self.lo, self.hi, self.at = starts[first], starts[last], own[first]
-        self.hash = grams[self.at]
+        self.hash = spread(grams[self.at] + np.uint64(1))  # least grams crowd near zero; scrambled, they deal evenly to shards
         size = (self.hi - self.lo + length).astype(np.uint64)
         offset = (self.at - self.lo).astype(np.uint64)
         mark = spread(size << np.uint64(32) | offset)
@@ -127,8 +127,14 @@ def repeated(text: np.ndarray, starts: np.ndarray, length: int = LENGTH) -> np.n
     """
     if len(starts) < 2:
         return np.zeros(len(starts), bool)
-    sums, back = running(text, 0)
-    digest = spread((sums[starts + length] - sums[starts]) * back[starts])
+    digest = np.empty(len(starts), np.uint64)
+    at = 0
+    while at < len(starts):  # a digest does not depend on where its string stands, so a stretch of text at a time will do
+        upto = max(at + 1, int(np.searchsorted(starts, starts[at] + (1 << 19))))
+        near = starts[at:upto] - starts[at]
+        sums, back = running(text[starts[at] : starts[upto - 1] + length], 0)
+        digest[at:upto] = spread((sums[near + length] - sums[near]) * back[near])
+        at = upto
     order = np.argsort(digest)
     digest = digest[order]
     pairs = np.flatnonzero(digest[1:] == digest[:-1])
