@@ -105,12 +105,16 @@ def copies(rate: Column, key: Column) -> Column:
     return F.floor(rate + uniform).cast("long")
 
 
-def mixture_of(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, domain_column: str = "lang", id_column: str = "doc_id", text_column: str = "text"):
-    """(domains, model, mixture, members): what the reports and the mixing stage share."""
+def mixture_of(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, domain_column: str = "lang", id_column: str = "doc_id", text_column: str = "text", carry: bool = False):
+    """(domains, model, mixture, members): what the reports and the mixing stage share; with ``carry`` members hold the input rows as ``__row``.
+
+    Members are written once: the rates name the posteriors many times, and each time would score the text again.
+    """
+    row = [F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")] if carry else []
     domains, model = classifier(docs, labels, domain_column, id_column, text_column)
     domains = domains or tuple(sorted(targets))[:1]
-    own = docs.select(F.col(id_column).alias("__id"), text_of(text_column).alias("__text"))
-    members = written(memberships(own, domains, model, "__text").select("__id", "__n", "__posterior"), "members")
+    own = docs.select(F.col(id_column).alias("__id"), text_of(text_column).alias("__text"), *row)
+    members = written(memberships(own, domains, model, "__text").select("__id", "__n", "__posterior", *(["__row"] if carry else [])), "members")
     return domains, model, fit_rates(members, domains, targets), members
 
 
@@ -132,8 +136,7 @@ def mixing_report(docs: DataFrame, labels: DataFrame, targets: Mapping[str, floa
 
 def mix(docs: DataFrame, labels: DataFrame, targets: Mapping[str, float] = TARGETS, domain_column: str = "lang", id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """``docs``, each row as many times as its copies, columns unchanged."""
-    domains, model, mixture, _ = mixture_of(docs, labels, targets, domain_column, id_column, text_column)
-    row = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"), F.col(id_column).alias("__id"), text_of(text_column).alias("__text"))
-    dealt = memberships(row, domains, model, "__text").withColumn("__copies", copies(mixture.rate(F.col("__posterior")), F.col("__id")))
+    _, _, mixture, members = mixture_of(docs, labels, targets, domain_column, id_column, text_column, carry=True)
+    dealt = members.withColumn("__copies", copies(mixture.rate(F.col("__posterior")), F.col("__id")))
     often = F.explode(F.sequence(F.lit(1).cast("long"), F.col("__copies")))
     return dealt.filter("__copies > 0").select("__row", often.alias("__copy")).select("__row.*")
