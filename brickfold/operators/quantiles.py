@@ -2,15 +2,16 @@
 
 Inputs estimated within ``SMALL_BYTES`` use the built-in exact ``percentile``. Beyond that, a first pass brackets every wanted rank with a mergeable sketch. A second pass counts the rows
 below each bracket and the distinct values inside it; both collapse map-side, and only the thin
-bracket (a ~1/ACCURACY share of a group) is ever sorted. A bracket that misses its rank is
-widened to the group's own minimum and maximum, so the answer is exact whatever the sketch says.
+bracket (a ~1/ACCURACY share of a group) is ever sorted. A bracket that misses its rank is found anew
+by counting cells of equal width, so the answer is exact whatever the sketch says and no group is
+ever sorted whole.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
@@ -19,6 +20,10 @@ from .joins import attach, keyed_join
 
 ACCURACY = 20_000
 MARGIN = 3.0 / ACCURACY
+#: Targets whose 'below' bits share a cell: at most 2^CHUNK cells per key, so they collapse map-side.
+CHUNK = 8
+#: Cells that a missed bracket is cut into per round, and the rows from which on it is thin enough to sort.
+CELLS, THIN = 1024, 100_000
 
 
 def _sketch(df: DataFrame, keys: Sequence[str], columns: Sequence[str], targets: list[tuple[str, float]]) -> DataFrame:
@@ -48,14 +53,12 @@ def _brackets(sketch: DataFrame, keys: Sequence[str], targets: list[tuple[str, f
 
 
 def _count_cells(df: DataFrame, brackets: DataFrame, keys: Sequence[str], targets: list[tuple[str, float]]) -> DataFrame:
-    """(keys, target, value, rows): bracket values, plus target -1 rows holding a bit mask of 'below'."""
+    """(keys, target, value, rows): bracket values, plus rows of target -1 - k with the bit mask of 'below' for the k-th CHUNK of targets."""
     bounds = brackets.select(*keys, "__rows", *[f"{e}{i}" for i in range(len(targets)) for e in ("lo", "hi")])
     joined = attach(df, bounds, keys, rows_col="__rows")
-    mask = sum(
-        (F.when(F.col(c) < F.col(f"lo{i}"), F.lit(float(1 << i))).otherwise(F.lit(0.0)) for i, (c, _) in enumerate(targets)),
-        F.lit(0.0),
-    )
-    cells = [F.struct(F.lit(-1).alias("target"), mask.alias("value"))] + [
+    bits = [F.when(F.col(c) < F.col(f"lo{i}"), F.lit(float(1 << i % CHUNK))).otherwise(F.lit(0.0)) for i, (c, _) in enumerate(targets)]
+    masks = [sum(bits[i : i + CHUNK], F.lit(0.0)) for i in range(0, len(bits), CHUNK)]
+    cells = [F.struct(F.lit(-1 - k).alias("target"), mask.alias("value")) for k, mask in enumerate(masks)] + [
         F.when(
             F.col(c).between(F.col(f"lo{i}"), F.col(f"hi{i}")),
             F.struct(F.lit(i).alias("target"), F.col(c).alias("value")),
@@ -80,9 +83,11 @@ def _resolve(cells: DataFrame, brackets: DataFrame, keys: Sequence[str], targets
             ])
         ),
     )
-    below = cells.filter("target = -1").groupBy(*keys).agg(*[
-        F.sum(F.when(F.shiftright(F.col("value").cast("long"), i).bitwiseAND(F.lit(1)) == 1, F.col("rows")).otherwise(F.lit(0))).alias(f"b{i}")
-        for i in range(n_targets)
+    def under(i):
+        return (F.col("target") == -1 - i // CHUNK) & (F.shiftright(F.col("value").cast("long"), i % CHUNK).bitwiseAND(F.lit(1)) == 1)
+
+    below = cells.filter("target < 0").groupBy(*keys).agg(*[
+        F.sum(F.when(under(i), F.col("rows")).otherwise(F.lit(0))).alias(f"b{i}") for i in range(n_targets)
     ]).select(*keys, F.inline(F.array(*[F.struct(F.lit(i).alias("target"), F.col(f"b{i}").alias("below")) for i in range(n_targets)])))
     part = [*keys, "target"]
     ordered = W.partitionBy(*part).orderBy("value").rowsBetween(W.unboundedPreceding, 0)
@@ -106,6 +111,65 @@ def _resolve(cells: DataFrame, brackets: DataFrame, keys: Sequence[str], targets
     )
 
 
+def _cell(value: Column, lo: Column, hi: Column) -> Column:
+    """Cell 0..CELLS-1 of equal width; both ends have their own. Halved first, so that no difference overflows."""
+    at = F.try_divide(value / 2 - lo / 2, hi / 2 - lo / 2)
+    at = F.least(F.greatest(F.coalesce(F.nanvl(at, F.lit(0.0)), F.lit(0.0)), F.lit(0.0)), F.lit(1.0))
+    inner = F.least(F.floor(at * (CELLS - 2)) + 1, F.lit(CELLS - 2))
+    return F.when(value <= lo, F.lit(0)).when(value >= hi, F.lit(CELLS - 1)).otherwise(inner).cast("int")
+
+
+def _widened(state: DataFrame, keys: Sequence[str], n_targets: int) -> DataFrame:
+    mine = [F.max(F.when(F.col("target") == i, F.col(c))).alias(f"{c}{i}") for i in range(n_targets) for c in ("lo", "hi", "n")]
+    return state.groupBy(*keys).agg(F.max("n").alias("__rows"), *mine)
+
+
+def _narrowed(df: DataFrame, missed: DataFrame, sketch: DataFrame, keys: Sequence[str], targets: list[tuple[str, float]]) -> DataFrame:
+    """Brackets of the missed ranks, as ``_brackets`` gives them, each thin or of two neighbouring values.
+
+    A round counts the cells between the bracket's ends; the cell holding the rank is the next bracket. Its ends are values
+    with cells of their own, so every round sheds values and the search ends for any distribution.
+    """
+    part = [*keys, "target"]
+    pos = [F.lit(p) * (F.col(f"n_{c}") - 1) for c, p in targets]
+    every = F.array(*[
+        F.struct(
+            F.lit(i).alias("target"), F.col(f"n_{c}").alias("n"), F.col(f"n_{c}").alias("within"), F.floor(pos[i]).cast("long").alias("rank_lo"),
+            F.ceil(pos[i]).cast("long").alias("rank_hi"), F.col(f"min_{c}").alias("lo"), F.col(f"max_{c}").alias("hi"),
+        )
+        for i, (c, _) in enumerate(targets)
+    ])
+    state = written(keyed_join(sketch.select(*keys, F.inline(every)), missed.select(*part), part, "left_semi"), "missed")
+    wide = F.col("within") > THIN
+    while not (todo := state.filter(wide & (F.col("lo") < F.col("hi")))).isEmpty():
+        joined = attach(df, written(_widened(todo, keys, len(targets)), "ends"), keys, rows_col="__rows")
+        hits = [
+            F.when(
+                F.col(c).between(F.col(f"lo{i}"), F.col(f"hi{i}")),
+                F.struct(F.lit(i).alias("target"), _cell(F.col(c), F.col(f"lo{i}"), F.col(f"hi{i}")).alias("cell"), F.col(c).alias("value")),
+            )
+            for i, (c, _) in enumerate(targets)
+        ]
+        cells = joined.select(*keys, F.inline(F.array_compact(F.array(*hits)))).groupBy(*part, "cell").agg(
+            F.count(F.lit(1)).alias("held"), F.min("value").alias("least"), F.max("value").alias("most"))
+        cells = cells.withColumn("upto", F.sum("held").over(W.partitionBy(*part).orderBy("cell").rowsBetween(W.unboundedPreceding, 0)))
+        cells = keyed_join(todo, cells, part, "inner").withColumn("before", F.col("upto") - F.col("held"))
+        first, last = ((F.col("before") <= F.col(r)) & (F.col(r) < F.col("upto")) for r in ("rank_lo", "rank_hi"))
+        found = cells.filter(first | last).groupBy(*part, "n", "rank_lo", "rank_hi").agg(
+            F.count(F.lit(1)).alias("cells"), F.min("before").alias("before"), F.min(F.when(first, F.col("held"))).alias("held"),
+            F.min(F.when(first, F.col("least"))).alias("a"), F.min(F.when(first, F.col("most"))).alias("b"),
+            F.min(F.when(last, F.col("least"))).alias("c"), F.min(F.when(last, F.col("most"))).alias("d"),
+        )
+        one = F.col("cells") == 1
+        found = found.select(
+            *part, "n", F.when(one, F.col("held")).otherwise(F.lit(0)).alias("within"), (F.col("rank_lo") - F.col("before")).alias("rank_lo"),
+            (F.col("rank_hi") - F.col("before")).alias("rank_hi"), F.when(one, F.col("a")).otherwise(F.col("b")).alias("lo"),
+            F.when(one, F.col("d")).otherwise(F.col("c")).alias("hi"),
+        )
+        state = written(state.filter(~(wide & (F.col("lo") < F.col("hi")))).unionByName(found), "missed")
+    return written(_widened(state, keys, len(targets)), "brackets")
+
+
 def exact_quantiles(
     df: DataFrame,
     keys: Sequence[str],
@@ -134,16 +198,9 @@ def exact_quantiles(
     found = written(_resolve(_count_cells(narrow, written(brackets, "brackets"), grouped, targets), brackets, grouped, targets), "ranks")
     missed = found.filter(~F.col("ok"))
     if not missed.isEmpty():
-        full = _brackets(sketch, grouped, targets)
-        for i, (c, _) in enumerate(targets):
-            full = full.drop(f"lo{i}", f"hi{i}")
-        mins = sketch.select(*grouped, *[F.col(f"{e}_{c}") for c in cols for e in ("min", "max")])
-        full = keyed_join(full, mins, grouped).select(
-            *grouped, "__rows",
-            *[x for i, (c, _) in enumerate(targets) for x in (F.col(f"min_{c}").alias(f"lo{i}"), F.col(f"max_{c}").alias(f"hi{i}"), F.col(f"n{i}"))],
-        )
+        full = _narrowed(narrow, missed, sketch, grouped, targets)
         again = keyed_join(narrow, missed.select(*grouped).distinct(), grouped, "left_semi")
-        redo = _resolve(_count_cells(again, written(full, "brackets"), grouped, targets), full, grouped, targets)
+        redo = _resolve(_count_cells(again, full, grouped, targets), full, grouped, targets)
         keep = found.filter("ok")
         found = keep.unionByName(keyed_join(missed.select(*grouped, "target"), redo, [*grouped, "target"]).select(*keep.columns))
     value = F.col("v_lo") + (F.col("pos") - F.floor("pos")) * (F.col("v_hi") - F.col("v_lo"))

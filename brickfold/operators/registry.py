@@ -10,14 +10,15 @@ from pyspark.sql import functions as F
 
 from .joins import keyed_join
 
-MAX_LISTED = 1000  # fixed value
 CSV_KEY = ("model_name", "version", "git_commit")
 MODEL_KEY = ("model_name", "version")
 
 
 def new_rows(existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = CSV_KEY) -> DataFrame:
-    """Incoming rows whose key is not registered yet, one per key."""
-    return keyed_join(incoming.dropDuplicates(list(keys)), existing.select(*keys).distinct(), keys, "left_anti")
+    """Incoming rows whose key is not registered yet; of rows with one key the least, columns compared in turn."""
+    rest = [c for c in incoming.columns if c not in keys]
+    least = incoming.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("__least")).select(*keys, "__least.*") if rest else incoming.distinct()
+    return keyed_join(least.select(*incoming.columns), existing.select(*keys).distinct(), keys, "left_anti")
 
 
 def active_models(registry: DataFrame, activations: DataFrame, at: str = "activated_at") -> DataFrame:
@@ -28,9 +29,9 @@ def active_models(registry: DataFrame, activations: DataFrame, at: str = "activa
 
 
 def list_models(registry: DataFrame, model_name: str | None = None, limit: int = 100, date: str = "training_date", rid: str = "id") -> DataFrame:
-    """Newest first, at most 1..1000 rows."""
+    """Newest first, as many rows as asked for, at least one."""
     out = registry if model_name is None else registry.filter(F.col("model_name") == model_name)
-    return out.orderBy(F.desc(date), F.desc(rid)).limit(min(max(limit, 1), MAX_LISTED))
+    return out.orderBy(F.desc(date), F.desc(rid)).limit(max(limit, 1))
 
 
 def next_version(registry: DataFrame, artifact: str = "artifact", stems: Sequence[str] | None = None) -> DataFrame:

@@ -67,16 +67,31 @@ SMALL_BYTES = 16 << 20
 def settled(df: DataFrame, name: str = "state", limit_bytes: int = SMALL_BYTES) -> DataFrame:
     """``df`` itself when its inputs are small enough to recompute, else a written table.
 
-    Without column statistics the optimizer's estimate for a derived table never falls below its
-    inputs' file sizes, so a small estimate means small inputs.
+    A plan that multiplies rows or draws values is written at any size: the first escapes the estimate, the second
+    would show every reader other values.
     """
-    return df if plan_bytes(df) <= limit_bytes else written(df, name)
+    stable = df._jdf.queryExecution().optimizedPlan().deterministic() and "Generate" not in plan_nodes(df)
+    return df if stable and plan_bytes(df) <= limit_bytes else written(df, name)
+
+
+#: Plan nodes that cost no shuffle, join, Python or row multiplication when run again.
+ROW_WISE = {"Project", "Filter", "LogicalRelation", "DataSourceV2ScanRelation", "LocalRelation", "LogicalRDD", "Range", "Union"}
+
+
+def plan_nodes(df: DataFrame) -> set[str]:
+    """Class names of the nodes of the optimized plan."""
+    todo, names = [df._jdf.queryExecution().optimizedPlan()], set()
+    while todo:
+        node = todo.pop()
+        names.add(node.getClass().getSimpleName())
+        children = node.children()
+        todo += [children.apply(i) for i in range(children.size())]
+    return names
 
 
 def is_narrow(df: DataFrame) -> bool:
     """True when re-reading ``df`` repeats no shuffle or join (a scan with row-wise work on top)."""
-    tree = df._jdf.queryExecution().optimizedPlan().toString()
-    return not any(word in tree for word in ("Join", "Aggregate", "Window", "Sort", "Distinct"))
+    return plan_nodes(df) <= ROW_WISE
 
 
 def plan_bytes(df: DataFrame) -> int:

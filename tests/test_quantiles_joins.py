@@ -50,6 +50,32 @@ def test_missed_brackets_are_widened(spark, monkeypatch):
     assert got == {g: pytest.approx(np.median([v for a, v in data if a == g])) for g in got}
 
 
+@pytest.mark.parametrize("thin", [2, 50])
+def test_missed_brackets_are_narrowed_cell_by_cell(spark, monkeypatch, thin):
+    """Heavy tails, infinities and a hot value: the search for the rank ends at it without sorting a group."""
+    from brickfold.operators import quantiles as q
+
+    monkeypatch.setattr(q, "MARGIN", -0.2)
+    monkeypatch.setattr(q, "THIN", thin)
+    monkeypatch.setattr(q, "CELLS", 16)
+    r = random.Random(3)
+    data = [("tail", r.choice([1.0, 1e-300, 1e300, -1e300]) * r.random()) for _ in range(900)]
+    data += [("hot", 7.0 if r.random() < 0.6 else r.gauss(0, 1e3)) for _ in range(900)] + [("inf", v) for v in (-np.inf, 1.0, 2.0, 3.0, 4.0, np.inf)]
+    df = spark.createDataFrame(data, "g string, v double")
+    got = {x["g"]: (x["v_q0"], x["v_q1"]) for x in q.exact_quantiles(df, ["g"], {"v": (0.3, 0.5)}, small_bytes=0).collect()}
+    want = {x["g"]: tuple(x["w"]) for x in df.groupBy("g").agg(F.percentile("v", [0.3, 0.5]).alias("w")).collect()}
+    assert got == {g: tuple(pytest.approx(v) for v in w) for g, w in want.items()}
+
+
+def test_many_columns_get_exact_medians(spark):
+    """More targets than a double has bits."""
+    cols = [f"c{i}" for i in range(60)]
+    df = spark.range(5000).select(*[(F.pmod(F.xxhash64("id", F.lit(i)), F.lit(100_003)) / 7).alias(c) for i, c in enumerate(cols)])
+    got = exact_quantiles(df, [], {c: (0.5,) for c in cols}, small_bytes=0).first()
+    want = df.agg(*[F.percentile(c, 0.5).alias(c) for c in cols]).first()
+    assert [got[f"{c}_q0"] for c in cols] == pytest.approx([want[c] for c in cols], rel=1e-12)
+
+
 @pytest.mark.parametrize("limit", [1 << 40, -1])
 @pytest.mark.parametrize("with_rows", [True, False])
 def test_attach_is_the_same_on_every_path(spark, limit, with_rows):
