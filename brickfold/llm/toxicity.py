@@ -10,6 +10,7 @@ The training rows are a bounded sample, SAMPLE labelled rows with the smallest h
 from __future__ import annotations
 
 import re
+from array import array
 from collections import Counter
 from dataclasses import dataclass
 
@@ -72,24 +73,24 @@ def train(texts: list[str], toxic: list[int], vocabulary: int = VOCABULARY, roun
         rate = np.clip(np.mean(toxic) if toxic else 0.0, 1e-4, 1 - 1e-4)
         return Model(float(np.log(rate / (1 - rate))), {})
     y = np.array(toxic, float)
-    words = [{f for w in set(WORD.findall(t.lower())) for f in features(w)} for t in texts]
     in_all, in_toxic = Counter(), Counter()
-    for ws, label in zip(words, toxic):
-        in_all.update(ws)
+    for text, label in zip(texts, toxic):
+        held = {f for w in set(WORD.findall(text.lower())) for f in features(w)}
+        in_all.update(held)
         if label:
-            in_toxic.update(ws)
+            in_toxic.update(held)
     rate = y.mean()
     # how many standard deviations a word's toxic documents exceed or miss what the base rate gives
     scored = {w: (in_toxic[w] - n * rate) / np.sqrt(n * rate * (1 - rate)) for w, n in in_all.items() if n >= 4}
     chosen = sorted((w for w in scored if scored[w] >= EVIDENCE), key=lambda w: (-scored[w], w))[:vocabulary]
     index = {w: i for i, w in enumerate(chosen)}
-    entries, of_sentence, of_doc = [], [], []
+    entries, of_sentence, of_doc = array("q"), array("q"), array("q")
     for d, text in enumerate(texts):
         cut = SENTENCE.findall(text) or [""]
         for s in cut:
             own = sorted({index[f] for w in set(WORD.findall(s.lower())) for f in features(w) if f in index})
-            entries += own
-            of_sentence += [len(of_doc)] * len(own)
+            entries.extend(own)
+            of_sentence.extend([len(of_doc)] * len(own))
             of_doc.append(d)
     entries, of_sentence, of_doc = (np.array(x, np.int64) for x in (entries, of_sentence, of_doc))
     n_sentences, n_docs = len(of_doc), len(texts)
