@@ -19,7 +19,8 @@ BUCKET_HEX = 4
 
 
 def hash_order(key: Column, seed: int = SEED) -> Column:
-    return F.md5(F.concat(F.lit(f"{seed}|"), key.cast("string")))
+    """Place of a key in the split order; rows without key share one place, that of the text NULL."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit("NULL"))))
 
 
 def _quotas(counts: DataFrame, strata: Sequence[str], shares: Mapping[str, float]) -> DataFrame:
@@ -33,43 +34,44 @@ def _quotas(counts: DataFrame, strata: Sequence[str], shares: Mapping[str, float
     cum = 0.0
     for i, name in enumerate(names[:-1]):
         cum = round(cum + shares[name], 10)
-        raw = F.col("n") * F.lit(cum)
-        goal = F.round(F.sum("n").over(whole) * F.lit(cum))
+        raw = F.col("__n") * F.lit(cum)
+        goal = F.round(F.sum("__n").over(whole) * F.lit(cum))
         short = goal - F.sum(F.floor(raw)).over(whole)
         place = F.row_number().over(whole.orderBy(F.desc(raw - F.floor(raw)), *strata))
-        out = out.withColumn(f"cut{i}", F.floor(raw) + F.when(place <= short, 1).otherwise(0))
+        out = out.withColumn(f"__cut{i}", F.floor(raw) + F.when(place <= short, 1).otherwise(0))
     return out
 
 
 def split_cutoffs(df: DataFrame, strata: Sequence[str], key: Column, shares: Mapping[str, float] = SHARES, seed: int = SEED) -> DataFrame:
-    """Per stratum the hash values that end each share: exact ranks found without ranking the rows.
+    """Per stratum the hash values ``__end0``, ``__end1`` ... that end each share: exact ranks found without ranking the rows.
 
     Hash prefixes are counted (map-side, at most 16^BUCKET_HEX per stratum), and only the prefix
     holding a cut is looked at value by value.
     """
     n_cuts = len(shares) - 1
-    hashed = df.select(*strata, hash_order(key, seed).alias("h"))
-    prefix = F.substring("h", 1, BUCKET_HEX)
-    cells = settled(hashed.groupBy(*strata, prefix.alias("b")).agg(F.count(F.lit(1)).alias("c")), "cells")
-    quotas = settled(_quotas(cells.groupBy(*strata).agg(F.sum("c").alias("n")), strata, shares), "quotas")
-    running = F.sum("c").over(W.partitionBy(*strata).orderBy("b").rowsBetween(W.unboundedPreceding, 0))
-    walked = attach(cells.withColumn("upto", running), quotas, strata)
-    wanted = F.array(*[F.struct(F.lit(i).alias("cut"), F.col(f"cut{i}").alias("quota")) for i in range(n_cuts)])
+    hashed = df.select(*strata, hash_order(key, seed).alias("__h"))
+    prefix = F.substring("__h", 1, BUCKET_HEX)
+    cells = settled(hashed.groupBy(*strata, prefix.alias("__b")).agg(F.count(F.lit(1)).alias("__c")), "cells")
+    quotas = settled(_quotas(cells.groupBy(*strata).agg(F.sum("__c").alias("__n")), strata, shares), "quotas")
+    running = F.sum("__c").over(W.partitionBy(*strata).orderBy("__b").rowsBetween(W.unboundedPreceding, 0))
+    walked = attach(cells.withColumn("__upto", running), quotas, strata)
+    wanted = F.array(*[F.struct(F.lit(i).alias("__cut"), F.col(f"__cut{i}").alias("__quota")) for i in range(n_cuts)])
     edges = settled(
-        walked.select(*strata, "b", (F.col("upto") - F.col("c")).alias("before"), "upto", F.inline(wanted))
-        .filter((F.col("before") < F.col("quota")) & (F.col("upto") >= F.col("quota")))
-        .drop("upto"),
+        walked.select(*strata, "__b", (F.col("__upto") - F.col("__c")).alias("__before"), "__upto", F.inline(wanted))
+        .filter((F.col("__before") < F.col("__quota")) & (F.col("__upto") >= F.col("__quota")))
+        .drop("__upto"),
         "edges",
     )
     inside = (
-        keyed_join(hashed.withColumn("b", prefix), edges, [*strata, "b"], "inner")
-        .groupBy(*strata, "cut", "before", "quota", "h").agg(F.count(F.lit(1)).alias("c"))
+        keyed_join(hashed.withColumn("__b", prefix), edges, [*strata, "__b"], "inner")
+        .groupBy(*strata, "__cut", "__before", "__quota", "__h").agg(F.count(F.lit(1)).alias("__c"))
     )
-    w = W.partitionBy(*strata, "cut").orderBy("h").rowsBetween(W.unboundedPreceding, 0)
+    w = W.partitionBy(*strata, "__cut").orderBy("__h").rowsBetween(W.unboundedPreceding, 0)
+    reached = F.col("__upto") >= F.col("__quota")
     ends = (
-        inside.withColumn("upto", F.col("before") + F.sum("c").over(w))
+        inside.withColumn("__upto", F.col("__before") + F.sum("__c").over(w))
         .groupBy(*strata)
-        .agg(*[F.min(F.when((F.col("cut") == i) & (F.col("upto") >= F.col("quota")), F.col("h"))).alias(f"end{i}") for i in range(n_cuts)])
+        .agg(*[F.min(F.when((F.col("__cut") == i) & reached, F.col("__h"))).alias(f"__end{i}") for i in range(n_cuts)])
     )
     return settled(ends, "cutoffs")
 
@@ -82,8 +84,8 @@ def stratified_split(df: DataFrame, strata: Sequence[str], key: Column, shares:
     h = hash_order(key, seed)
     side = F.lit(names[-1])
     for i in reversed(range(len(names) - 1)):
-        side = F.when(h <= F.col(f"end{i}"), F.lit(names[i])).otherwise(side)
-    return out.withColumn("split", side).drop(*[f"end{i}" for i in range(len(names) - 1)])
+        side = F.when(h <= F.col(f"__end{i}"), F.lit(names[i])).otherwise(side)
+    return out.withColumn("split", side).drop(*[f"__end{i}" for i in range(len(names) - 1)])
 
 
 def protocol_split(df: DataFrame, strata: Sequence[str], key: Column, seed: int = SEED) -> DataFrame:

@@ -241,3 +241,14 @@ def test_tiers_and_verdicts(spark):
     assert ("a", 1.0, "Budget") in got and ("a", 8.0, "Luxury") in got and ("b", 1.0, None) in got and ("a", None, None) in got
     v = spark.createDataFrame([(89.0, 100.0), (100.0, 100.0), (111.0, 100.0), (1.0, 0.0)], "a double, p double").select(market.deal_verdict(F.col("a"), F.col("p")).alias("d")).collect()
     assert [r["d"] for r in v] == ["Good Deal", "Fair", "Overpriced", None]
+
+
+def test_split_with_missing_keys_and_unlucky_names(spark):
+    """Rows without key share one place in the order; a stratum may be called like any inner column."""
+    from brickfold.operators import split
+
+    df = spark.range(2000).select(F.lit("x").alias("c"), F.when(F.col("id") >= 10, F.col("id")).alias("k"), F.lit(1).alias("h"))
+    out = split.stratified_split(df, ["c"], F.col("k"))
+    sizes = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
+    assert sum(sizes.values()) == 2000 and abs(sizes["train"] - 1400) <= 10 and abs(sizes["val"] - 300) <= 10
+    assert out.columns == ["c", "k", "h", "split"] and out.filter("k IS NULL").select("split").distinct().count() == 1
