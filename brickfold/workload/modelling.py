@@ -498,7 +498,7 @@ SELECT CAST(up AS INTEGER) AS up, CAST(3 - up AS INTEGER) AS down, count(*) AS n
 
 @query
 def consensus_features(spark, d):
-    """Names in the top 5 of every method, a method being a return flag and its score the mean price."""
+    """Localities in the top 20 of every city, by mean area."""
     r = items(spark, d).groupBy(F.col("city").alias("method"), F.col("locality").alias("feature")).agg(F.avg("area_sqft").alias("importance"))
     return registry.consensus(r, k=20)
 
