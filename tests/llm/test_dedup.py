@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 import xxhash
 
-from brickfold.llm import exact, simhash, substrings, suffixes
+from brickfold.llm import exact, near_copies, simhash, substrings, suffixes
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -127,3 +127,61 @@ def test_suffix_ranks_equal_digest_order():
     starts = np.arange(len(text) - 199)
     _, of, count = np.unique(suffixes.ranked(text, starts, 200), return_inverse=True, return_counts=True)
     assert (suffixes.repeated(text, starts, 200) == (count[of] > 1)).all()
+
+
+def jaccard_components(texts, limit=0.8):
+    sets = []
+    for t in texts:
+        w = re.findall(WORD, re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
+        sets.append({tuple(w[i : i + 5]) for i in range(len(w) - 4)} or {tuple(w)})
+    label, changed = list(range(len(texts))), True
+    while changed:
+        changed = False
+        for i, a in enumerate(sets):
+            for j, b in enumerate(sets):
+                if label[j] > label[i] and len(a & b) >= limit * len(a | b):
+                    label[j], changed = label[i], True
+    return label
+
+
+def near_corpus(seed=11):
+    rng = random.Random(seed)
+    shared = [f"s{i}" for i in range(40)]  # a passage that many unlike texts hold
+    texts = []
+    for i in range(30):
+        words = [f"{rng.choice('abcdef')}{rng.randrange(200)}" for _ in range(rng.choice([1, 4, 5, 9, 60, 200]))] + shared * (i % 2)
+        for _ in range(rng.choice([1, 2, 4])):
+            other = list(words)
+            for _ in range(rng.choice([0, 1, 2, 4])):
+                other[rng.randrange(len(other))] = f"n{rng.randrange(99)}"
+            texts.append(" ".join(other))
+    long = [f"w{i}" for i in range(400)]
+    texts += [" ".join([*long[:k], "x", *long[k + 1 :]]).upper() for k in range(0, 400, 5)]
+    return [*texts, None, " ", texts[0].upper()]
+
+
+@pytest.mark.parametrize("large", [64, 4])
+def test_near_copies_against_brute_force(spark, large):
+    texts = near_corpus()
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(3)
+    found = {r.high: r.low for r in near_copies.near_copies(df, large=large).collect()}
+    assert [found.get(i, i) for i in range(len(texts))] == jaccard_components(texts)
+
+
+def test_near_dedup_by_row(spark, awkward, empty):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (2, text + " more"), (2, "another text that no other row holds"), (None, text + " end"), (None, "stays as it is")]
+    kept = near_copies.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.text) for r in kept} == {rows[0], rows[2], rows[4]}
+    assert near_copies.near_dedup(awkward).columns == awkward.columns and near_copies.near_dedup(empty).count() == 0
+
+
+def test_pipeline_drops_near_copies_of_five_word_shingles(spark):
+    import corpus_pipeline
+
+    words = [f"v{i}" for i in range(100)]
+    texts = [" ".join(words)] + [" ".join([*words[:k], "changed", *words[k + 1 :]]) for k in (20, 50, 80)]
+    texts += [" ".join(words[:-2] + ["x", "y"]), " ".join(words[50:] + words[:50]), " ".join(words[::-1])]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
+    assert kept == sorted(set(jaccard_components(texts)))
