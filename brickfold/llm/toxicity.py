@@ -1,7 +1,7 @@
 """Toxicity by multiple-instance learning.
 
 A document is toxic if any of its sentences is: sentence scores are logistic in the words and word beginnings present, a document's score is
-their noisy-or, and the weights of words and word beginnings are trained from document labels alone, so that each label's blame settles on the
+the noisy-or of the sentences that hold a learnt feature and of one leak for labels no word explains, whatever the document's length, and the weights of words and word beginnings are trained from document labels alone, so that each label's blame settles on the
 sentences that explain it. Scoring keeps the sentences' own scores and points at the offending ones.
 
 The training rows are a bounded sample, SAMPLE labelled rows with the smallest hashes of their ids; all documents are scored.
@@ -28,6 +28,8 @@ VOCABULARY = 2500
 #: Standard deviations by which a feature must exceed chance to be learnt at all.
 EVIDENCE = 3.0
 THRESHOLD = 0.3
+#: Logit of a sentence whose features say nothing: fixed, for a learnt one rises with what no word explains, once a sentence.
+BIAS = -7.0
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 ROUNDS = 400
@@ -42,28 +44,25 @@ def features(word: str) -> tuple[str, ...]:
 class Model:
     bias: float
     weights: dict[str, float]
+    leak: float  # as a logit, once a document
 
     def __post_init__(self):
         object.__setattr__(self, "known", Remembered(lambda w: tuple(f for f in features(w) if f in self.weights)))
 
     def __reduce__(self):
-        return Model, (self.bias, self.weights)
+        return Model, (self.bias, self.weights, self.leak)
 
     def sentences(self, text: str) -> tuple[float, list[tuple[int, int, float]]]:
         """The document's score, and (start, end, score) of its sentences that hold a known feature."""
         known = self.known
         present = {w for w in set(WORD.findall(text.lower())) if known[w]}
-        plain, found, safe = 1.0 / (1.0 + np.exp(-self.bias)), [], 0.0
-        pieces = 0
-        for m in SENTENCE.finditer(text):
-            pieces += 1
-            if present:
-                own = {f for w in present.intersection(WORD.findall(m[0].lower())) for f in known[w]}
-                if own:
-                    p = float(1.0 / (1.0 + np.exp(-(self.bias + sum(self.weights[f] for f in sorted(own))))))
-                    found.append((m.start(), m.end(), p))
-                    safe += np.log1p(-min(p, 1 - 1e-12))
-        safe += (max(pieces, 1) - len(found)) * np.log1p(-plain)
+        found, safe = [], np.log1p(-1.0 / (1.0 + np.exp(-self.leak)))
+        for m in SENTENCE.finditer(text) if present else ():
+            own = {f for w in present.intersection(WORD.findall(m[0].lower())) for f in known[w]}
+            if own:
+                p = float(1.0 / (1.0 + np.exp(-(self.bias + sum(self.weights[f] for f in sorted(own))))))
+                found.append((m.start(), m.end(), p))
+                safe += np.log1p(-min(p, 1 - 1e-12))
         return float(-np.expm1(safe)), found
 
 
@@ -71,7 +70,7 @@ def train(texts: list[str], toxic: list[int], vocabulary: int = VOCABULARY, roun
     """Full-batch fit of the noisy-or likelihood on the features that toxic documents hold far more often than chance."""
     if not texts or len(set(toxic)) < 2:
         rate = np.clip(np.mean(toxic) if toxic else 0.0, 1e-4, 1 - 1e-4)
-        return Model(float(np.log(rate / (1 - rate))), {})
+        return Model(BIAS, {}, float(np.log(rate / (1 - rate))))
     y = np.array(toxic, float)
     in_all, in_toxic = Counter(), Counter()
     for text, label in zip(texts, toxic):
@@ -86,27 +85,27 @@ def train(texts: list[str], toxic: list[int], vocabulary: int = VOCABULARY, roun
     index = {w: i for i, w in enumerate(chosen)}
     entries, of_sentence, of_doc = array("q"), array("q"), array("q")
     for d, text in enumerate(texts):
-        cut = SENTENCE.findall(text) or [""]
-        for s in cut:
+        for s in SENTENCE.findall(text):
             own = sorted({index[f] for w in set(WORD.findall(s.lower())) for f in features(w) if f in index})
-            entries.extend(own)
-            of_sentence.extend([len(of_doc)] * len(own))
-            of_doc.append(d)
+            if own:
+                entries.extend(own)
+                of_sentence.extend([len(of_doc)] * len(own))
+                of_doc.append(d)
     entries, of_sentence, of_doc = (np.array(x, np.int64) for x in (entries, of_sentence, of_doc))
     n_sentences, n_docs = len(of_doc), len(texts)
-    theta = np.zeros(len(chosen) + 1)
-    theta[-1] = -6.0
+    theta = np.append(np.zeros(len(chosen)), -6.0)  # the weights and the documents' leak
     m, v = np.zeros_like(theta), np.zeros_like(theta)
     for t in range(1, rounds + 1):
-        z = theta[-1] + np.bincount(of_sentence, theta[entries], n_sentences)
+        z = BIAS + np.bincount(of_sentence, theta[entries], n_sentences)
         p = np.clip(1 / (1 + np.exp(-z)), 1e-9, 1 - 1e-9)
-        doc = np.clip(-np.expm1(np.bincount(of_doc, np.log1p(-p), n_docs)), 1e-9, 1 - 1e-9)
+        leak = np.clip(1 / (1 + np.exp(-theta[-1])), 1e-9, 1 - 1e-9)
+        doc = np.clip(-np.expm1(np.bincount(of_doc, np.log1p(-p), n_docs) + np.log1p(-leak)), 1e-9, 1 - 1e-9)
         pull = np.where(y > 0, (1 - doc) / doc, -1.0)
         g = pull[of_doc] * p
-        grad = np.append(np.bincount(entries, g[of_sentence], len(chosen)), g.sum()) - 0.5 * np.append(theta[:-1], 0.0)
+        grad = np.append(np.bincount(entries, g[of_sentence], len(chosen)) - 0.5 * theta[:-1], pull.sum() * leak)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta += 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
-    return Model(float(theta[-1]), {w: float(x) for w, x in zip(chosen, theta) if abs(x) > 0.2})
+    return Model(BIAS, {w: float(x) for w, x in zip(chosen, theta) if abs(x) > 0.2}, float(theta[-1]))
 
 
 def held_out(id_column: Column) -> Column:
@@ -130,11 +129,12 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     def learn(parts):
         got = pd.concat(list(parts) or [pd.DataFrame({"text": [], "toxic": []})]).sort_values(["text", "toxic"])
         model = train(got["text"].tolist(), [int(x > 0) for x in got["toxic"]])
-        yield pd.DataFrame({"word": [None, *model.weights], "weight": [model.bias, *model.weights.values()]})
+        yield pd.DataFrame({"word": [None, *model.weights], "weight": [model.bias, *model.weights.values()], "leak": model.leak})
 
-    found = rows.repartition(1).mapInPandas(learn, "word string, weight double").collect()  # at most VOCABULARY + 1 rows
-    bias = [r.weight for r in found if r.word is None]
-    return Model(bias[0] if bias else -9.0, {r.word: r.weight for r in found if r.word is not None})
+    found = rows.repartition(1).mapInPandas(learn, "word string, weight double, leak double").collect()  # at most VOCABULARY + 1 rows
+    fixed = [(r.weight, r.leak) for r in found if r.word is None]
+    bias, leak = fixed[0] if fixed else (BIAS, BIAS)
+    return Model(bias, {r.word: r.weight for r in found if r.word is not None}, leak)
 
 
 def scorer(model: Model):

@@ -21,6 +21,18 @@ def test_toxicity_learns_from_documents_only():
     assert model.sentences("the cat sat.")[0] < 0.3 and model.sentences("")[0] < 0.3
 
 
+def test_toxicity_of_clean_text_of_any_length():
+    good = [f"the cat number {i} sat. it slept near house {i % 7}." for i in range(400)]
+    bad = [f"the cat number {i} sat. you horrible fool {i % 7}. it slept." for i in range(40)]
+    unexplained = [f"the cat number {i} sat. it slept near house {i % 7}." for i in range(8)]
+    model = toxicity.train(good + bad + unexplained, [0] * 400 + [1] * 48)
+    clean = "the cat sat. it slept near the house. " * 50_000
+    assert model.sentences(clean)[0] < toxicity.THRESHOLD
+    assert model.sentences(clean)[0] == pytest.approx(model.sentences("the cat sat.")[0])
+    score, found = model.sentences(clean + "you horrible fool.")
+    assert score > 0.7 and len(found) == 1
+
+
 @here
 def test_toxicity_held_out(spark):
     rows = queries.op7_toxicity(spark, FOLDER).join(spark.read.parquet(f"{FOLDER}/labels.parquet"), "doc_id").filter("held_out").collect()
