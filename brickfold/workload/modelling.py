@@ -413,22 +413,28 @@ def _training(spark, d):
     return split.stratified_split(li.withColumn("key", key), ["city"], F.col("key")).withColumn("label", F.log1p("price_inr"))
 
 
-@query
-def candidate_sweep(spark, d):
-    """All five candidates on one matrix; small tree counts, whole table."""
+def _matrix(spark, d) -> tuple[DataFrame, models.Preprocessor]:
+    """key, split, label, features of every row, and the encoder fitted on the training rows."""
     rows = written(_training(spark, d).select("key", "city", "split", "label", "area_sqft", "p_size", "p_retailprice", "p_type", "p_brand", "l_discount", "l_tax"), "rows")
     pre = models.fit_preprocessor(rows.filter("split = 'train'"), ["area_sqft", "p_size", "p_retailprice", "l_discount", "l_tax"], {}, ["city", "p_type"])
-    matrix = written(pre.transform(rows).select("key", "split", "label", "features"), "matrix")
-    m, _ = models.sweep(matrix.filter("split = 'train'"), matrix, models.candidates(trees=10, rounds=10))
+    return written(pre.transform(rows).select("key", "split", "label", "features"), "matrix"), pre
+
+
+@query
+def candidate_sweep(spark, d):
+    """All five candidates at full size on one matrix, whole table."""
+    matrix, _ = _matrix(spark, d)
+    m, _ = models.sweep(matrix.filter("split = 'train'"), matrix, models.candidates())
     return m
 
 
 @query
 def tree_importance(spark, d):
-    rows = written(_training(spark, d).select("key", "split", "label", "area_sqft", "p_size", "l_discount"), "rows")
-    pre = models.fit_preprocessor(rows, ["area_sqft", "p_size", "l_discount"], {}, [])
-    m = models.make_estimator("random_forest", trees=10).fit(pre.transform(rows.filter("split = 'train'")))
-    return registry.rank_features(models.importances(spark, m, pre.names, "random_forest"))
+    """Ranked inputs of both tree candidates at full size, all inputs of the sweep."""
+    matrix, pre = _matrix(spark, d)
+    train = matrix.filter("split = 'train'")
+    ranked = [models.importances(spark, models.make_estimator(n).fit(train), pre.names, n) for n in ("random_forest", "gradient_boosting")]
+    return registry.rank_features(ranked[0].unionByName(ranked[1]))
 
 
 @query

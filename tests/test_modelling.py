@@ -252,3 +252,49 @@ def test_split_with_missing_keys_and_unlucky_names(spark):
     sizes = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
     assert sum(sizes.values()) == 2000 and abs(sizes["train"] - 1400) <= 10 and abs(sizes["val"] - 300) <= 10
     assert out.columns == ["c", "k", "h", "split"] and out.filter("k IS NULL").select("split").distinct().count() == 1
+
+
+def test_registered_training_is_not_cut(spark, monkeypatch):
+    """All segments, all candidates and full tree counts reach the estimators; the fits themselves are left out."""
+    import os
+
+    import pytest
+
+    from brickfold.operators import models
+    from brickfold.plans import training
+    from brickfold.workload import loading, modelling
+
+    folder = "/root/testdata/sf0.001"
+    if not os.path.isdir(folder):
+        pytest.skip("no test tables")
+    asked, fitted, segments = [], [], []
+
+    def sizes(pool):
+        return {n: e.getNumTrees() if n == "random_forest" else e.getMaxIter() for n, e in pool.items() if n in ("random_forest", "gradient_boosting")} | {"all": len(pool)}
+
+    def no_sweep(train, scored, pool):
+        asked.append(sizes(pool))
+        return spark.createDataFrame([("linear", "val", 0.5)], "model string, split string, r2 double"), {}
+
+    class NoFit:
+        def __init__(self, name, estimator):
+            self.name, self.estimator = name, estimator
+
+        def fit(self, train):
+            fitted.append((self.name, sizes({self.name: self.estimator})[self.name]))
+
+    def no_train(df, segment, **kw):
+        segments.append((segment, kw))
+        return no_sweep(df, df, models.candidates())[0], {"model": "linear"}, {}, models.Preprocessor({})
+
+    made = models.make_estimator
+    monkeypatch.setattr(models, "sweep", no_sweep)
+    monkeypatch.setattr(models, "make_estimator", lambda n, **kw: NoFit(n, made(n, **kw)))
+    monkeypatch.setattr(models, "importances", lambda spark, m, names, method: spark.createDataFrame([(method, n, 0.1) for n in names], "method string, feature string, importance double"))
+    monkeypatch.setattr(training, "train", no_train)
+    modelling.candidate_sweep(spark, folder)
+    assert asked[0] == {"random_forest": 200, "gradient_boosting": 200, "all": 5}
+    inputs = {r.feature for r in modelling.tree_importance(spark, folder).collect()}
+    assert fitted == [("random_forest", 200), ("gradient_boosting", 200)] and {"num__p_retailprice", "num__l_tax"} <= inputs and any(x.startswith("cat__city") for x in inputs)
+    assert {r.segment for r in loading.train_and_pick(spark, folder).collect()} == {"rent", "sale"}
+    assert segments == [("rent", {}), ("sale", {})]
