@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact, mixing, quality, secrets, simhash, substrings, suffixes, token_counts, toxicity
+from . import bpe, chat, exact, mixing, quality, secrets, simhash, spelling, substrings, suffixes, token_counts, toxicity, vector_codes
 from .common import documents
 
 
@@ -48,6 +48,18 @@ def op9_suffixes(spark: SparkSession, folder: str) -> DataFrame:
     return suffixes.suffix_report(documents(spark, folder))
 
 
-QUERIES = {"op9_suffixes": op9_suffixes, "op1_simhash": op1_simhash, "op2_substrings": op2_substrings, "op3_mixing": op3_mixing, "op8_quality_rules": op8_quality_rules, "op4_byte_bpe": op4_byte_bpe, "op5_secrets": op5_secrets, "op7_toxicity": op7_toxicity, "op6_token_counts": op6_token_counts, "op10_exact_dedup": op10_exact_dedup}
+def op11_chat_format(spark: SparkSession, folder: str) -> DataFrame:
+    return chat.chat_report(chat.with_marked(spark, spark.read.parquet(f"{folder}/conversations.parquet")))
 
-SQL = {"op10_exact_dedup": exact.SQL}
+
+def op12_vector_codes(spark: SparkSession, folder: str) -> DataFrame:
+    return vector_codes.vector_codes(spark.read.parquet(f"{folder}/embeddings.parquet"))
+
+
+def op13_spelling_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling.spelling_variants(documents(spark, folder))
+
+
+QUERIES = {"op9_suffixes": op9_suffixes, "op1_simhash": op1_simhash, "op2_substrings": op2_substrings, "op3_mixing": op3_mixing, "op8_quality_rules": op8_quality_rules, "op4_byte_bpe": op4_byte_bpe, "op5_secrets": op5_secrets, "op7_toxicity": op7_toxicity, "op6_token_counts": op6_token_counts, "op10_exact_dedup": op10_exact_dedup, "op11_chat_format": op11_chat_format, "op12_vector_codes": op12_vector_codes, "op13_spelling_variants": op13_spelling_variants}
+
+SQL = {"op10_exact_dedup": exact.SQL, "op11_chat_format": chat.SQL, "op12_vector_codes": vector_codes.SQL}
