@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from ..functions.values import direction
 
@@ -43,6 +44,57 @@ def linear_contributions(values: Mapping[str, Column], coefficients: Mapping[str
     return F.array(*[one(f, v) for f, v in values.items()])
 
 
+def fitted_contributions(features: Column, names: Sequence[str], coefficients: Sequence[float], means: Sequence[float]) -> Column:
+    """array<struct(o, feature, impact)> of a fitted linear model over its encoded inputs (an array): coefficient times distance from the training mean.
+
+    With ``base_value`` the impacts add up to the prediction. The three short lists stand in the plan as constants.
+    """
+    if not len(names) == len(coefficients) == len(means):
+        raise ValueError(f"{len(names)} names, {len(coefficients)} coefficients and {len(means)} means")
+    fixed = F.arrays_zip(F.lit(list(names)).alias("name"), F.lit([float(c) for c in coefficients]).alias("weight"), F.lit([float(m) for m in means]).alias("mean"))
+
+    def one(x: Column, k: Column) -> Column:
+        impact = k["weight"] * (x - k["mean"])
+        return F.struct((-F.abs(impact)).alias("o"), k["name"].alias("feature"), impact.alias("impact"))
+
+    return F.zip_with(features, fixed, one)
+
+
+def base_value(intercept: float, coefficients: Sequence[float], means: Sequence[float]) -> float:
+    """The prediction at the training means."""
+    return float(intercept) + sum(float(c) * float(m) for c, m in zip(coefficients, means))
+
+
+def summary_sample(df: DataFrame, key: Column, rows: int = SUMMARY_ROWS, seed: int = 42) -> DataFrame:
+    """The first ``rows`` rows in seeded hash order of their key, whatever the partitioning; each task hands on that many at most."""
+    order = F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit(""))))
+    return df.withColumn("__o", order).orderBy("__o").limit(rows).drop("__o")
+
+
+def impact_summary(df: DataFrame, contributions: str, labels: DataFrame, k: int = SUMMARY_TOP) -> DataFrame:
+    """rank, feature, label and mean absolute impact of the k weightiest inputs; ties by name."""
+    top = mean_abs_impact(df, contributions).limit(k)
+    ranked = top.withColumn("rank", F.row_number().over(W.orderBy(F.desc("mean_abs_impact"), "feature")))
+    return with_labels(ranked, labels).select("rank", "feature", "label", "mean_abs_impact")
+
+
+def encoder_labels(spark: SparkSession, numeric: Sequence[str], ordinals: Sequence[str], categories: Mapping[str, Sequence[str]], extra: Sequence[str] = ()) -> DataFrame:
+    """(feature, label) for each input of a fitted encoder, by block.
+
+    One-hot inputs read ``City: Mumbai``: the column up to its first underscore, then the rest with the level. Other inputs have the column in title case, unless the
+    fixed labels name them; those stay, for inputs that this encoder lacks too.
+    """
+    out = dict(FEATURE_LABELS)
+    for block, columns in (("num", numeric), ("ord", ordinals), ("extra", extra)):
+        for c in columns:
+            out.setdefault(f"{block}__{c}", c.replace("_", " ").title())
+    for c, levels in categories.items():
+        for v in levels[1:]:
+            column, _, rest = f"{c}_{v}".partition("_")
+            out[f"cat__{c}_{v}"] = f"{column.title()}: {rest}"
+    return spark.createDataFrame(list(out.items()), "feature string, label string")
+
+
 def top_contributions(contributions: Column, k: int = TOP_CONTRIBUTIONS) -> Column:
     """array<struct(o, feature, impact)>: the k largest by absolute impact (ties by name).
 

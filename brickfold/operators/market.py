@@ -60,6 +60,12 @@ def price_tier(df: DataFrame, bounds: DataFrame, city: str, value: str, tiers: S
     return j.withColumn("price_tier", name).drop("tier_edge0", "tier_edge1", "tier_edge2")
 
 
+def residual_class(actual: Column, predicted: Column, band: float = VERDICT_BAND) -> Column:
+    """Class of a price against its out-of-fold prediction; a gap of exactly the band is outside it."""
+    gap = F.try_divide(actual - predicted, predicted)
+    return F.when(gap <= -band, "Good Deal").when(gap >= band, "Overpriced").when(gap.isNotNull(), "Fair Price")
+
+
 def deal_verdict(actual: Column, predicted: Column, band: float = VERDICT_BAND) -> Column:
     gap = F.try_divide(actual - predicted, predicted)
     return F.when(gap < -band, "Good Deal").when(gap > band, "Overpriced").when(gap.isNotNull(), "Fair")

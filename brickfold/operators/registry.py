@@ -5,9 +5,11 @@ from __future__ import annotations
 import re
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import written
+from ..sources.tables import _or_none
 from .joins import keyed_join
 
 CSV_KEY = ("model_name", "version", "git_commit")
@@ -21,6 +23,35 @@ def new_rows(existing: DataFrame, incoming: DataFrame, keys: Sequence[str] = CSV
     return keyed_join(least.select(*incoming.columns), existing.select(*keys).distinct(), keys, "left_anti")
 
 
+def append_once(incoming: DataFrame, path: str, run: str, keys: Sequence[str] = CSV_KEY) -> int:
+    """Register the rows of ``run`` whose key no other run has registered; returns how many it holds.
+
+    A run owns one folder, written whole and seen only once complete, so a retry replaces what it wrote before and never adds to it. Two runs that register one key at
+    the same time both keep their row on disk; ``read_registry`` shows one of them, always the same.
+    """
+    spark = incoming.sparkSession
+    others = _runs(spark, path, incoming).filter(F.col("run") != run)
+    own = written(new_rows(others, incoming, keys), "registry_rows")
+    own.write.mode("overwrite").parquet(f"{path}/run={run}")
+    return own.count()
+
+
+def _runs(spark: SparkSession, path: str, like: DataFrame | None = None) -> DataFrame:
+    found = _or_none(spark, path)
+    if found is not None:
+        return found.withColumn("run", F.col("run").cast("string"))
+    if like is None:
+        raise FileNotFoundError(f"no registry at {path}")
+    return like.limit(0).withColumn("run", F.lit(None).cast("string"))
+
+
+def read_registry(spark: SparkSession, path: str, keys: Sequence[str] = CSV_KEY) -> DataFrame:
+    """One row for each key: that of the first run by name; of several runs writing at once, the first one wins for every reader."""
+    rows = _runs(spark, path)
+    rest = [c for c in rows.columns if c not in keys and c != "run"]
+    return rows.groupBy(*keys).agg(F.min(F.struct("run", *rest)).alias("__least")).select(*keys, *[f"__least.{c}" for c in (*rest, "run")])
+
+
 def active_models(registry: DataFrame, activations: DataFrame, at: str = "activated_at") -> DataFrame:
     """The one active version per model: its latest activation; unknown targets never win."""
     known = keyed_join(activations, registry.select(*MODEL_KEY).distinct(), MODEL_KEY, "left_semi")

@@ -18,9 +18,15 @@ MIN_SEGMENT_ROWS = 500
 BUCKET_HEX = 4
 
 
+def row_key(df: DataFrame, key: Column) -> Column:
+    """The key as text; a row without one gets a digest of its values instead, so that such rows spread over the sides like any others."""
+    whole = F.concat_ws("|", *[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("NULL")) for c in sorted(df.columns)])
+    return F.coalesce(key.cast("string"), F.concat(F.lit("NULL|"), F.md5(whole)))
+
+
 def hash_order(key: Column, seed: int = SEED) -> Column:
-    """Place of a key in the split order; rows without key share one place, that of the text NULL."""
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(key.cast("string"), F.lit("NULL"))))
+    """Place of a key in the split order."""
+    return F.md5(F.concat(F.lit(f"{seed}|"), key))
 
 
 def _quotas(counts: DataFrame, strata: Sequence[str], shares: Mapping[str, float]) -> DataFrame:
@@ -49,7 +55,7 @@ def split_cutoffs(df: DataFrame, strata: Sequence[str], key: Column, shares: Map
     holding a cut is looked at value by value.
     """
     n_cuts = len(shares) - 1
-    hashed = df.select(*strata, hash_order(key, seed).alias("__h"))
+    hashed = df.select(*strata, hash_order(row_key(df, key), seed).alias("__h"))
     prefix = F.substring("__h", 1, BUCKET_HEX)
     cells = settled(hashed.groupBy(*strata, prefix.alias("__b")).agg(F.count(F.lit(1)).alias("__c")), "cells")
     quotas = settled(_quotas(cells.groupBy(*strata).agg(F.sum("__c").alias("__n")), strata, shares), "quotas")
@@ -77,11 +83,11 @@ def split_cutoffs(df: DataFrame, strata: Sequence[str], key: Column, shares: Map
 
 
 def stratified_split(df: DataFrame, strata: Sequence[str], key: Column, shares: Mapping[str, float] = SHARES, seed: int = SEED) -> DataFrame:
-    """Adds ``split``. The key must identify a row; copies of a key always stay on one side."""
+    """Adds ``split``. The key must identify a row; copies of a key always stay on one side, as do copies of a whole row without key."""
     names = list(shares)
     ends = split_cutoffs(df, strata, key, shares, seed)
     out = attach(df, ends, strata)
-    h = hash_order(key, seed)
+    h = hash_order(row_key(df, key), seed)
     side = F.lit(names[-1])
     for i in reversed(range(len(names) - 1)):
         side = F.when(h <= F.col(f"__end{i}"), F.lit(names[i])).otherwise(side)

@@ -577,10 +577,10 @@ SQL["sparse_columns"] = f"WITH {_GAPS_SQL} " + " UNION ALL ".join(
 def imputation_chain(spark, d):
     """All tiers in order: the 70 % column goes, flags are set, low, group and Unknown fills follow."""
     out = impute.impute(_gaps(spark, d), low_numeric=["area", "floors"], low_text=["furnish"], medium=["price", "rooms"])
-    return out.select(*[c for c in out.columns if c not in ("floors",)]).withColumn("price", F.round("price", 3))
+    return out.withColumn("price", F.round("price", 3))
 
 
-SQL["imputation_chain"] = f"""WITH {_GAPS_SQL} SELECT m.l_orderkey, m.l_linenumber, m.l_partkey, m.l_suppkey, m.city, m.locality, m.property_type, m.area, m.furnish, round(m.price, 3) AS price, m.rooms,
+SQL["imputation_chain"] = f"""WITH {_GAPS_SQL} SELECT m.l_orderkey, m.l_linenumber, m.l_partkey, m.l_suppkey, m.city, m.locality, m.property_type, m.area, m.floors, m.furnish, round(m.price, 3) AS price, m.rooms,
 coalesce(m.note, 'Unknown') AS note, m.city IS NULL AS was_missing_city, g.price IS NULL AS was_missing_price, g.rooms IS NULL AS was_missing_rooms, g.note IS NULL AS was_missing_note
 FROM mid m JOIN gaps g USING ({_KEY})"""
 

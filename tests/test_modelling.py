@@ -244,14 +244,17 @@ def test_tiers_and_verdicts(spark):
 
 
 def test_split_with_missing_keys_and_unlucky_names(spark):
-    """Rows without key share one place in the order; a stratum may be called like any inner column."""
+    """Rows without key spread over the sides by their values; a stratum may be called like any inner column."""
     from brickfold.operators import split
 
-    df = spark.range(2000).select(F.lit("x").alias("c"), F.when(F.col("id") >= 10, F.col("id")).alias("k"), F.lit(1).alias("h"))
+    df = spark.range(2000).select(F.lit("x").alias("c"), F.when(F.col("id") % 2 == 0, F.col("id")).alias("k"), F.lit(1).alias("h"), F.col("id").alias("own"), F.array("id").alias("list"))
     out = split.stratified_split(df, ["c"], F.col("k"))
-    sizes = {r["split"]: r["count"] for r in out.groupBy("split").count().collect()}
-    assert sum(sizes.values()) == 2000 and abs(sizes["train"] - 1400) <= 10 and abs(sizes["val"] - 300) <= 10
-    assert out.columns == ["c", "k", "h", "split"] and out.filter("k IS NULL").select("split").distinct().count() == 1
+    for rows, n in ((out, 2000), (out.filter("k IS NULL"), 1000)):
+        sizes = {r["split"]: r["count"] for r in rows.groupBy("split").count().collect()}
+        assert sum(sizes.values()) == n and all(abs(sizes[s] / n - share) < 0.05 for s, share in split.SHARES.items())
+    assert {r["split"]: r["count"] for r in out.groupBy("split").count().collect()} == {"train": 1400, "val": 300, "test": 300}
+    assert out.columns == ["c", "k", "h", "own", "list", "split"]
+    assert sorted(out.collect(), key=repr) == sorted(split.stratified_split(df.repartition(7), ["c"], F.col("k")).collect(), key=repr)
 
 
 def test_registered_training_is_not_cut(spark, monkeypatch):
