@@ -10,6 +10,7 @@ each other before. Pre-tokens never merge with each other, so above them joining
 from __future__ import annotations
 
 import base64
+from array import array
 from functools import lru_cache
 from itertools import chain
 from pathlib import Path
@@ -17,26 +18,35 @@ from pathlib import Path
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .merging import NEVER, PRE_TOKENS, Remembered, merge
+from .merging import NEVER, Remembered, merge, splitter
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 #: Bytes up to which a piece is merged directly.
 LEAF = 32
 
 
+def letters_and_digits(chars: str) -> tuple[str, str]:
+    """Those that the library's own character tables know."""
+    import tiktoken
+
+    bytewise = {bytes([i]): i for i in range(256)}
+    found = (tiktoken.Encoding(f"own-{kind}", pat_str=rf"\p{{{kind}}}", mergeable_ranks=bytewise, special_tokens={}).encode_ordinary(chars) for kind in "LN")
+    letters, digits = (bytes(ids).decode() for ids in found)
+    return letters, digits
+
+
 class Codec:
-    def __init__(self, rank_file: bytes, pattern: str = PRE_TOKENS, leaf: int = LEAF):
+    def __init__(self, rank_file: bytes, leaf: int = LEAF):
         self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, rank_file.splitlines()) if a}
         self.tokens = {b: a for a, b in self.ranks.items()}
-        self.split = regex.compile(pattern).findall
+        self.split = splitter(letters_and_digits)
         self.leaf = leaf
         # ids of a pre-token packed as int32, so that a text's ids are one concatenation
-        self.known = Remembered(lambda s: np.array(self.pre_token(s.encode()), np.int32).tobytes())
+        self.known = Remembered(lambda s: array("i", self.pre_token(s.encode())).tobytes())
         lengths = np.zeros(max(self.tokens, default=-1) + 1, np.int64)
         for t, b in self.tokens.items():
             lengths[t] = len(b)

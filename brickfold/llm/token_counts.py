@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import text_of
-from .merging import NEVER, PRE_TOKENS, Remembered, merge
+from .merging import NEVER, Remembered, merge, splitter
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 LIMIT = 1024
@@ -31,6 +31,15 @@ def byte_letters() -> list[str]:
     return [chr(b) if b in plain else chr(next(shifted)) for b in range(256)]
 
 
+def letters_and_digits(chars: str) -> tuple[str, str]:
+    """Those that the library's own character tables know."""
+    from tokenizers import Regex
+    from tokenizers.pre_tokenizers import Split
+
+    letters, digits = ("".join(x for x, _ in Split(Regex(rf"[^\p{{{kind}}}]"), "removed").pre_tokenize_str(chars)) for kind in "LN")
+    return letters, digits
+
+
 class Counter:
     def __init__(self, tokenizer: str, whole: frozenset[str] = frozenset()):
         spec = json.loads(tokenizer)
@@ -41,7 +50,7 @@ class Counter:
         self.ranks = {tuple(p): i for i, p in enumerate(pairs)}
         self.vocab = model["vocab"]
         self.letters = byte_letters()
-        self.split = regex.compile(PRE_TOKENS).findall
+        self.split = splitter(letters_and_digits)
         special = sorted((t["content"] for t in spec["added_tokens"] if t["content"]), key=len, reverse=True)
         self.special = regex.compile("|".join(map(regex.escape, special))) if special else None
         self.hints = special

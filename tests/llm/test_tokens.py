@@ -2,6 +2,7 @@ import base64
 
 import public_tokenizers
 import pytest
+import regex
 import tiktoken
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -39,6 +40,34 @@ def test_counts_equal_library(text):
         assert COUNTER.count(t) == len(LIBRARY.encode(t, add_special_tokens=False).ids)
 
 
+def characters():
+    """Every tenth character of all planes, and all of those that a newer pattern module may know and the libraries do not."""
+    import unicodedata
+
+    chars = [chr(i) for i in range(1, 0x110000) if not 0xD800 <= i < 0xE000]
+    late = [c for c in chars if unicodedata.category(c) == "Cn" and regex.match(r"[\p{L}\p{N}]", c)]
+    return sorted({*chars[:0x600], *chars[0x600::37], *late})
+
+
+def test_characters_of_all_planes():
+    """Letters and digits are those of each library, whatever the pattern module knows."""
+    chars = characters()
+    for t in ("".join(f"a{c}'re {c}1" for c in chars[i : i + 50]) for i in range(0, len(chars), 50)):
+        assert OWN.encode(t) == THEIRS.encode_ordinary(t)
+        assert COUNTER.count(t) == len(LIBRARY.encode(t, add_special_tokens=False).ids)
+
+
+def test_remembered_keeps_two_halves():
+    from brickfold.llm.merging import Remembered
+
+    calls = []
+    table = Remembered(lambda k: calls.append(k) or len(k), {"fixed": 7}, most=2)
+    assert [table[k] for k in ("a", "bb", "fixed", "a", "ccc", "a", "a")] == [1, 2, 7, 1, 3, 1, 1]
+    assert calls == ["a", "bb", "ccc"] and len(table) + len(table.old) <= 4
+    table["x" * 100]
+    assert "x" * 100 not in table
+
+
 def test_unknown_id_raises():
     with pytest.raises((KeyError, IndexError)):
         OWN.decode([10**6])
