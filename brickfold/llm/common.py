@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +27,20 @@ def id_and_text(docs: DataFrame, id_column: str, text_column: str) -> DataFrame:
     return docs.select(F.col(id_column).cast("long").alias("__id"), text_of(text_column).alias("__text"))
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, n_bytes: int) -> Iterator[None]:
+    """Jobs run inside hand rows to Python in batches of about that many bytes: wide rows then cost neither side more memory than that, a few times over."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(n_bytes))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["GAPS", "documents", "id_and_text", "shuffle_partitions", "text_of", "written"]
+__all__ = ["GAPS", "arrow_batches", "documents", "id_and_text", "shuffle_partitions", "text_of", "written"]

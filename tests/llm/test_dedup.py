@@ -185,3 +185,15 @@ def test_pipeline_drops_near_copies_of_five_word_shingles(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     kept = sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect())
     assert kept == sorted(set(jaccard_components(texts)))
+
+
+def test_near_dedup_with_clashing_columns_nulls_and_repeated_ids(spark, empty):
+    from brickfold.llm import near_copies
+
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, long, "a", 0), (1, "another text of its own with quite some words", "b", 1), (2, long + " end", "c", 2), (None, long + " end", "d", 3), (None, None, "e", 4), (3, "", "f", 5), (4, " \n", "g", 6), (5, "short", "h", 7)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, __row string, __own int")
+    out = near_copies.near_dedup(df)
+    assert out.columns == df.columns
+    assert sorted(r["__row"] for r in out.collect()) == ["a", "b", "f", "h"]
+    assert near_copies.near_dedup(empty).count() == 0 and near_copies.near_dedup(empty).columns == empty.columns
