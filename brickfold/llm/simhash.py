@@ -206,19 +206,37 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, fingerprint, component_id of each row.
 
-    NULL texts and texts without words have fingerprint zero and link like any other. Repeated rows stay. A row with NULL id gets the
-    component of its fingerprint but gives none its name. Other columns are not read; an empty table gives an empty result.
+    NULL texts and texts without words have fingerprint zero and link like any other. Repeated rows stay. Fingerprints of rows with NULL ids
+    link too; such ids name no component, so one that holds no other id has a NULL name. Other columns are not read; an empty table gives an
+    empty result.
     """
     own = docs.select(F.col(id_column).cast("long").alias("id"), F.arrow_udf(_fingerprints, "long")(text_of(text_column)).alias("fp"))
     prints = written(own, "fingerprints")
-    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("n")), "distinct_fingerprints")
-    tree = components(candidate_edges(distinct.filter("rep IS NOT NULL").select("fp", "rep")))
-    named = distinct.join(tree, F.col("rep") == F.col("high"), "left").select("fp", F.coalesce("low", "rep").alias("component_id"), "n")
-    out = attach(prints, written(named, "named_fingerprints"), ["fp"], rows_col="n", null_safe=False)
+    out = attach(prints, components_of(prints), ["fp"], rows_col="n", null_safe=False)
     return out.select(F.col("id").alias("doc_id"), hex_of(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def components_of(prints: DataFrame) -> DataFrame:
+    """fp, root, n, component_id of each distinct ``fp``: the component's smallest fingerprint, the fingerprint's rows, the component's smallest ``id``."""
+    distinct = written(prints.groupBy("fp").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("n")), "distinct_fingerprints")
+    tree = components(candidate_edges(distinct.select("fp", F.col("fp").alias("rep"))))
+    rooted = written(distinct.join(tree, F.col("fp") == F.col("high"), "left").select("fp", F.coalesce("low", "fp").alias("root"), "n", "least"), "rooted_fingerprints")
+    names = rooted.groupBy("root").agg(F.min("least").alias("component_id"), F.count(F.lit(1)).alias("m")).filter("m > 1")
+    named = attach(rooted, written(names, "component_names"), ["root"], rows_col="m", null_safe=False)
+    return written(named.select("fp", "root", "n", F.coalesce("component_id", "least").alias("component_id")), "named_fingerprints")
+
+
 def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """The rows of ``docs`` that are the smallest of their component, columns unchanged; rows with NULL id stay."""
-    gone = near_duplicates(docs, id_column, text_column).filter("doc_id <> component_id").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(written(gone, "near_copies"), F.col(id_column).cast("long") == F.col("__gone"), "left_anti")
+    """One row of ``docs`` per component, the one of least (id, NULL last, and text digest); columns unchanged, whatever their names.
+
+    Rows with NULL or repeated ids are rows like any others: of a component one row stays, whichever ids it holds.
+    """
+    own = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__own"), F.monotonically_increasing_id().alias("__row"))
+    rows = written(own, "numbered_rows")
+    text = F.coalesce(F.col("__own").getField(text_column).cast("string"), F.lit(""))
+    id_ = F.col("__own").getField(id_column).cast("long")
+    prints = written(rows.select("__row", id_.alias("id"), F.xxhash64(text).alias("digest"), F.arrow_udf(_fingerprints, "long")(text).alias("fp")), "row_fingerprints")
+    ranked = attach(prints, components_of(prints), ["fp"], rows_col="n", null_safe=False)
+    rank = F.struct(F.col("id").isNull().alias("none"), "id", "digest", "__row")
+    kept = ranked.groupBy("root").agg(F.min(rank).alias("rank")).select("rank.__row")
+    return rows.join(written(kept, "kept_rows"), "__row", "left_semi").select("__own.*")

@@ -77,6 +77,41 @@ def test_simhash_links(spark, bucket):
     assert [found.get(i, i) for i in range(len(prints))] == label
 
 
+def linked_prints(prints):
+    """The smallest print reachable from each by steps of three bits or fewer."""
+    label, todo = {}, sorted(set(prints))
+    for p in todo:
+        if p not in label:
+            reach = [p]
+            for x in reach:
+                label[x] = p
+                reach += [q for q in todo if q not in label and q not in reach and bin(x ^ q).count("1") <= 3]
+    return label
+
+
+def test_simhash_components_and_dedup_end_to_end(spark):
+    rng = np.random.default_rng(8)
+    rows = [(None, ""), (None, "  "), (4, None), (4, "lone words of one row"), (None, "nothing else is like this")]
+    for base in range(10):
+        words = [f"w{x}" for x in rng.integers(0, 5000, 300)]
+        for step in range(6):  # a chain: each text a word away from the one before
+            words[int(rng.integers(300))] = f"W{rng.integers(5000)}"
+            rows.append((None if step % 3 == 1 else int(rng.integers(0, 60)), " ".join(words)))
+    rows += rows[7:9]
+    df = spark.createDataFrame([(t, i, "x", 1, 2) for i, t in rows], "text string, doc_id long, root string, fp int, __row int")
+    label = linked_prints([brute_print(t) for _, t in rows])
+    assert 1 < len(set(label.values())) < len(label)
+    root = [label[brute_print(t)] for _, t in rows]
+    name = {r: min((i for (i, _), q in zip(rows, root) if q == r and i is not None), default=None) for r in root}
+    key = lambda x: (x[0] is None, x[0] or 0, x[1])
+    got = sorted(((r.doc_id, r.fingerprint, r.component_id) for r in simhash.near_duplicates(df).collect()), key=key)
+    assert got == sorted(((i, f"{brute_print(t):016x}", name[r]) for (i, t), r in zip(rows, root)), key=key)
+    kept = simhash.near_dedup(df)
+    assert kept.columns == df.columns
+    kept = kept.collect()
+    assert len(kept) == len(name) and {label[brute_print(r.text)]: r.doc_id for r in kept} == name
+
+
 def test_simhash_awkward(awkward, empty):
     got = simhash.near_duplicates(awkward)
     assert got.count() == awkward.count()
