@@ -27,8 +27,13 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_HINTS = ("passw", "secret", "token", "api")
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
 HEX = re.compile(r"[0-9a-f]{32,}")
-TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]*\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]*")
-PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,20}PRIVATE KEY)-----([A-Za-z0-9+/=\s]+)-----END \1-----")
+#: Whole runs with two dots or more, so that each is looked at once; a signed token is three neighbouring parts of one.
+DOTTED = re.compile(r"(?<![A-Za-z0-9_.-])[A-Za-z0-9_-]*(?:\.[A-Za-z0-9_-]*){2,}")
+#: How base64 of a brace and a quote, and of a brace and a quote or white space begins.
+QUOTED, HEADERS = "eyJ", ("ey", "ew")
+#: Line ends stand as such or, as in JSON and settings files, written out.
+PEM = re.compile(r"-----BEGIN ([A-Z0-9 ]{0,20}PRIVATE KEY)-----((?:[A-Za-z0-9+/=\s]|\\[nr])++)-----END \1-----")
+LINE_ENDS = re.compile(r"\s+|\\[nr]")
 RUN = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{40,}={0,2}")
 HEX_RUN = re.compile(r"(?<![0-9A-Fa-f])(?:[0-9A-Fa-f]{2}){32,}(?![0-9A-Fa-f])")
 
@@ -63,11 +68,14 @@ def elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | Non
 
 
 def der_key(data: bytes) -> bool:
-    """A private key in PKCS#1, PKCS#8, SEC1 or DSA form."""
+    """A private key in PKCS#1, PKCS#8, SEC1 or DSA form, or an encrypted one in PKCS#8 form."""
     if len(data) < 24 or data[0] != 0x30:
         return False
     outer = elements(data, 0, len(data))
     inner = elements(data, *outer[0][1:]) if outer and len(outer) == 1 else None
+    if inner and [t for t, _, _ in inner] == [0x30, 0x04] and inner[1][2] - inner[1][1] >= 8:
+        name = elements(data, *inner[0][1:])  # of the cipher, with its parameters
+        return bool(name) and [t for t, _, _ in name] == [0x06, 0x30] and bool(elements(data, *name[1][1:]))
     if not inner or len(inner) < 2 or inner[0][0] != 0x02 or inner[0][2] - inner[0][1] != 1:
         return False
     version, tags = data[inner[0][1]], [t for t, _, _ in inner]
@@ -105,13 +113,29 @@ def key(data: bytes | None) -> bool:
     return data is not None and (der_key(data) or ssh_key(data))
 
 
-def signed_token(token: str) -> bool:
-    head, body, _ = token.split(".", 2)
+def json_object(part: str) -> dict | None:
     try:
-        first, second = (json.loads(decoded(x) or b"") for x in (head, body))
+        value = json.loads(decoded(part) or b"")
     except (ValueError, RecursionError):
-        return False
-    return isinstance(first, dict) and isinstance(first.get("alg"), str) and isinstance(second, dict)
+        return None
+    return value if isinstance(value, dict) else None
+
+
+def signed_tokens(run: str, at: int) -> list[tuple[str, int, int]]:
+    """Spans of the signed tokens in a dotted run that starts at ``at``: a header that names an algorithm, a body, and a signature, maybe empty."""
+    parts, out, i = run.split("."), [], 0
+    start = at
+    while i + 2 < len(parts):
+        head, body, sign = parts[i : i + 3]
+        skipped = 0 if head.startswith(HEADERS) else head.find(QUOTED)  # other letters may touch a header
+        header = json_object(head[skipped:]) if body and skipped >= 0 else None
+        if header is not None and isinstance(header.get("alg"), str) and json_object(body) is not None:
+            end = start + len(head) + len(body) + len(sign) + 2
+            out.append(("jwt", start + skipped, end))
+            start, i = end + 1, i + 3
+        else:
+            start, i = start + len(head) + 1, i + 1
+    return out
 
 
 def spans(text: str) -> list[tuple[str, int, int]]:
@@ -123,10 +147,10 @@ def spans(text: str) -> list[tuple[str, int, int]]:
     if "AKIA" in text:
         out += [("access", *m.span()) for m in ACCESS.finditer(text)]
     out += [("hex", *m.span()) for m in HEX.finditer(text)]
-    if "eyJ" in text:
-        out += [("jwt", *m.span()) for m in TOKEN.finditer(text) if signed_token(m[0])]
+    if any(h in text for h in HEADERS) and "." in text:
+        out += [t for m in DOTTED.finditer(text) for t in signed_tokens(m[0], m.start())]
     if "PRIVATE KEY" in text:
-        out += [("pem", *m.span()) for m in PEM.finditer(text) if key(decoded(re.sub(r"\s+", "", m[2])))]
+        out += [("pem", *m.span()) for m in PEM.finditer(text) if key(decoded(LINE_ENDS.sub("", m[2])))]
     out += [("key", *m.span()) for m in RUN.finditer(text) if key(decoded(m[0]))]
     out += [("key", *m.span()) for m in HEX_RUN.finditer(text) if key(bytes.fromhex(m[0]))]
     order = {k: i for i, k in enumerate(BASE + CONFIRMED)}

@@ -1,4 +1,7 @@
 import base64
+import random
+import re
+import time
 
 import public_tokenizers
 import pytest
@@ -102,6 +105,53 @@ def test_confirmed_structures():
     assert kinds(base64.b64encode(pkcs1[:-1]).decode()) == [] and kinds("A" * 80) == []
 
 
+def test_confirmed_structures_in_other_forms():
+    kinds = lambda t: [k for k, _, _ in secrets.spans(t)]
+    part = lambda x: base64.urlsafe_b64encode(x).decode().rstrip("=")
+    for head in (b'{"alg":"HS256"}', b'{ "alg": "HS256"}', b'{\n"alg": "HS256"}', b'{\t"typ":"JWT","alg":"none"}'):
+        token = f"{part(head)}.{part(b'{}')}."
+        for before, after in (("", ""), ("a.b.", " c"), ("é=", "xyz"), ("..", ".d.e"), ("Bearer ", ")")):
+            text = before + token + after
+            assert [text[a:b] for k, a, b in secrets.spans(text) if k == "jwt"] == [token + ("xyz" if after == "xyz" else "")]
+    touching = f"x_{part(b'{"alg":"HS256"}')}.{part(b'{}')}.s"
+    assert secrets.spans(touching) == [("jwt", 2, len(touching))]
+    assert kinds("they.went.away eye.ewe.eyJ") == [] and kinds(f"{part(b'[1]')}.{part(b'{}')}.s") == []
+    number = der(2, b"\x11" * 64)
+    run = base64.b64encode(der(0x30, der(2, b"\0") + number * 8)).decode()
+    lines = [run[i : i + 64] for i in range(0, len(run), 64)]
+    for end in ("\n", "\r\n", "\\n", "\\r\\n"):
+        assert "pem" in kinds(f"-----BEGIN RSA PRIVATE KEY-----{end}{end.join(lines)}{end}-----END RSA PRIVATE KEY-----")
+    cipher = der(0x30, der(6, b"\x2a\x86\x48\x86\xf7\x0d\x01\x05\x0d") + der(0x30, der(4, b"s" * 8) + der(2, b"\x08\0")))
+    sealed = base64.b64encode(der(0x30, cipher + der(4, b"\x5a" * 160))).decode()
+    assert "pem" in kinds(f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{sealed}\n-----END ENCRYPTED PRIVATE KEY-----")
+    open_ = base64.b64encode(der(0x30, der(0x30, der(6, b"\x2a\x03") + der(5, b"")) + der(3, b"\0" * 160))).decode()
+    assert kinds(f"-----BEGIN ENCRYPTED PRIVATE KEY-----\n{open_}\n-----END ENCRYPTED PRIVATE KEY-----") == []
+
+
+def test_secrets_take_linear_time():
+    def seconds(text):
+        began = time.process_time()
+        secrets.spans(text)
+        return time.process_time() - began
+
+    for piece in ("eyJ", "eyJ.", "-----BEGIN PRIVATE KEY-----", "-----BEGIN PRIVATE KEY-----ab\\n", "token", "AKIA", "0a"):
+        assert seconds(piece * 200_000) < 5
+
+
+def brute_base(text):
+    """The contract's patterns with their lower bounds checked afterwards."""
+    kinds = [("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 8), ("access", "AKIA[A-Z0-9]+", 0, 16), ("hex", "[0-9a-f]+", 0, 32)]
+    return [(k, *m.span()) for k, p, g, n in kinds for m in re.finditer(p, text, re.I | re.A if k == "assign" else 0) if len(m[g]) >= n]
+
+
+def test_base_spans_against_brute_force():
+    deal = random.Random(3)
+    pieces = ["password", "PassWd", "api_key", "APIKEY", "token", "secret", '"', "'", " ", "  ", ":", "=", "AKIA", "AKIAABCDEFGH", "IJKLMN", "0a1b2c3d4e5f6789" * 2, "deadbeef", "abc.d/e+", "x", "é", "\n", "\u212a", "ſecret"]
+    for _ in range(20_000):
+        text = "".join(deal.choices(pieces, k=deal.randrange(14)))
+        assert sorted(s for s in secrets.spans(text) if s[0] in secrets.BASE) == sorted(brute_base(text))
+
+
 def test_base_spans():
     text = 'é PassWord: "abc12345" token=short secret = a.b/c+d=_9 AKIAABCDEFGHIJKL AKIAX ' + "0a" * 16 + " " + "ab" * 15
     found = [("assign", 'PassWord: "abc12345'), ("assign", "secret = a.b/c+d=_9"), ("access", "AKIAABCDEFGHIJKL"), ("hex", "0a" * 16)]
