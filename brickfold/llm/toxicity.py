@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_of
+from .common import arrow_batches, text_of
 from .merging import Remembered
 
 SAMPLE = 8000
@@ -30,6 +30,8 @@ EVIDENCE = 3.0
 THRESHOLD = 0.3
 #: Logit of a sentence whose features say nothing: fixed, for a learnt one rises with what no word explains, once a sentence.
 BIAS = -7.0
+#: Bytes of training texts that Python is handed at a time.
+BATCH_BYTES = 4 << 20
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 ROUNDS = 400
@@ -131,7 +133,8 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
         model = train(got["text"].tolist(), [int(x > 0) for x in got["toxic"]])
         yield pd.DataFrame({"word": [None, *model.weights], "weight": [model.bias, *model.weights.values()], "leak": model.leak})
 
-    found = rows.repartition(1).mapInPandas(learn, "word string, weight double, leak double").collect()  # at most VOCABULARY + 1 rows
+    with arrow_batches(docs.sparkSession, BATCH_BYTES):
+        found = rows.repartition(1).mapInPandas(learn, "word string, weight double, leak double").collect()  # at most VOCABULARY + 1 rows
     fixed = [(r.weight, r.leak) for r in found if r.word is None]
     bias, leak = fixed[0] if fixed else (BIAS, BIAS)
     return Model(bias, {r.word: r.weight for r in found if r.word is not None}, leak)
