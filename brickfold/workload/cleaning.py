@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions.values import list_length
 from ..operators import dedup, impute, lookups, outliers, profile, split
+from ..operators import parse_failures as failing
+from ..session import written
 from .common import ITEMS_SQL, items, table
 
 QUERIES: dict = {}
@@ -119,6 +121,33 @@ v AS (SELECT *, CASE p WHEN '1-URGENT' THEN x * 1e7 WHEN '2-HIGH' THEN x * 1e5 W
 SELECT o_orderkey, round(coalesce(a, CASE WHEN s <> 'F' THEN (x + k) / 2e0 END), 3) AS price, round(a, 3) AS price_alone FROM v"""
 
 
+@query
+def parse_failures(spark, d):
+    """Prices and areas of all orders as listing texts of three sources: which texts fail, and how often; good rows stay typed."""
+    o = table(spark, d, "orders").select(
+        F.col("o_orderstatus").alias("city"),
+        F.when(F.col("o_orderpriority") == "1-URGENT", F.concat(F.col("o_custkey").cast("string"), F.lit(" Cr")))
+        .when(F.col("o_orderpriority") == "2-HIGH", F.lit("Price on Request"))
+        .when(F.col("o_orderpriority") == "3-MEDIUM", F.lit(" N/A "))
+        .when(F.col("o_orderpriority") == "4-NOT SPECIFIED", F.concat((F.col("o_custkey") % 7).cast("string"), F.lit(" Crore plus"))).alias("PRICE"),
+        F.when(F.col("o_custkey") % 3 == 0, F.concat((F.col("o_custkey") % 11).cast("string"), F.lit(" acres")))
+        .when(F.col("o_custkey") % 3 == 1, F.concat(F.col("o_custkey").cast("string"), F.lit("-900 sq.ft."))).otherwise(F.lit("  ")).alias("AREA"))
+    rows = written(failing.typed(o, failing.LISTING_PARSERS), "typed_rows")
+    good = rows.groupBy("city").agg(F.count("PRICE").alias("prices"), F.count("AREA").alias("areas"))
+    counts = failing.failure_counts(rows, F.col("city"))
+    return counts.join(good, F.col("source") == F.col("city")).select("source", "column", "value", "n", "prices", "areas")
+
+
+SQL["parse_failures"] = """
+WITH r AS (SELECT o_orderstatus AS source, o_custkey AS k,
+    CASE o_orderpriority WHEN '1-URGENT' THEN o_custkey || ' Cr' WHEN '2-HIGH' THEN 'Price on Request' WHEN '3-MEDIUM' THEN ' N/A ' WHEN '4-NOT SPECIFIED' THEN (o_custkey % 7) || ' Crore plus' END AS price,
+    CASE o_custkey % 3 WHEN 0 THEN (o_custkey % 11) || ' acres' WHEN 1 THEN o_custkey || '-900 sq.ft.' ELSE '  ' END AS area FROM orders),
+f AS (SELECT source, 'PRICE' AS "column", price AS value FROM r WHERE price = 'Price on Request' OR price LIKE '%Crore plus'
+      UNION ALL SELECT source, 'AREA', area FROM r WHERE area LIKE '%acres'),
+g AS (SELECT source, count(*) FILTER (price LIKE '% Cr') AS prices, count(*) FILTER (area LIKE '%sq.ft.') AS areas FROM r GROUP BY source)
+SELECT f.source, f."column", f.value, count(*) AS n, any_value(prices) AS prices, any_value(areas) AS areas FROM f JOIN g USING (source) GROUP BY 1, 2, 3"""
+
+
 @query
 def parse_area_text(spark, d):
     li = table(spark, d, "lineitem").withColumn("q", F.col("l_quantity").cast("int").cast("string"))

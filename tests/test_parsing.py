@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from brickfold.functions import text as tx
 from brickfold.functions import values as v
+from brickfold.operators import parse_failures
 
 
 def one(spark, value, build, kind="string"):
@@ -102,3 +103,24 @@ def test_haversine(spark):
 def test_missing_tokens(spark):
     df = spark.createDataFrame([(x,) for x in ("", "NA", "nan", "None", "null", "N/A", "none?", "0")], "x string")
     assert [r[0] for r in df.select(tx.missing_to_null(F.col("x"))).collect()] == [None] * 6 + ["none?", "0"]
+
+
+def test_parse_failures_stand_beside_typed_rows(spark):
+    rows = [(1, "2 Cr", "100 sqft", "a"), (2, "Call us", "100 sqft", "b"), (3, "Call us", "2 acres", "c"), (4, None, " \t", "d"), (5, " N/A ", "", "e"), (6, "x" * 100_000, None, "f"), (6, "x" * 100_000, None, "f")]
+    df = spark.createDataFrame(rows, "id int, PRICE string, AREA string, column string")
+    got = parse_failures.typed(df, parse_failures.LISTING_PARSERS)
+    assert got.columns == [*df.columns, "parse_failures"] and dict(got.dtypes)["PRICE"] == "double"
+    assert {(r.id, r.PRICE, r.AREA, r["column"]) for r in got.collect()} == {(1, 2e7, 100.0, "a"), (2, None, 100.0, "b"), (3, None, None, "c"), (4, None, None, "d"), (5, None, None, "e"), (6, None, None, "f")}
+    counts = {tuple(r) for r in parse_failures.failure_counts(got, F.col("id") % 2 == 0).collect()}
+    assert counts == {("true", "PRICE", "Call us", 1), ("false", "PRICE", "Call us", 1), ("false", "AREA", "2 acres", 1), ("true", "PRICE", "x" * 100_000, 2)}
+    with pytest.raises(ValueError):
+        parse_failures.typed(got, parse_failures.LISTING_PARSERS)
+
+
+def test_parse_failures_of_sources_of_different_shape(spark):
+    one = spark.createDataFrame([("Call", "9 acres"), ("1 Cr", "9 acres")], "PRICE string, AREA string")
+    two = spark.createDataFrame([("later", 1)], "PRICE string, source int")
+    none = spark.createDataFrame([], "AREA string")
+    counts = {tuple(r) for r in parse_failures.listing_failures({"one": one, "two": two, "none": none}).collect()}
+    assert counts == {("one", "PRICE", "Call", 1), ("one", "AREA", "9 acres", 2), ("two", "PRICE", "later", 1)}
+    assert parse_failures.listing_failures({"none": none}).count() == 0
