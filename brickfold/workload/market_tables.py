@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import market, metrics
+from ..operators import market, metrics, similar
 from ..operators.joins import attach
 from .common import ITEMS_SQL, items, table
 
@@ -137,3 +137,28 @@ m AS (SELECT l.g, x, count(*) FILTER (a = x AND s = x) * 1e0 AS tp, count(*) FIL
 z AS (SELECT g, coalesce(tp / nullif(p, 0), 0) AS pr, coalesce(tp / nullif(r, 0), 0) AS re FROM m),
 c AS (SELECT g, max(n) AS largest_cell FROM (SELECT g, a, s, count(*) n FROM o GROUP BY ALL) GROUP BY g)
 SELECT z.g AS o_orderpriority, count(*) AS labels, largest_cell, round(avg(pr), 6) AS precision, round(avg(re), 6) AS recall, round(avg(coalesce(2 * pr * re / nullif(pr + re, 0), 0)), 6) AS f1 FROM z JOIN c USING (g) GROUP BY z.g, largest_cell"""
+
+
+SIMILAR_FEATURES = ["price", "month", "finished", "open", "urgency"]
+
+
+@query
+def similar_listings(spark, d):
+    """The five most similar orders of their priority for each order whose key 20 divides, popular clerks' orders where too few are near."""
+    o = table(spark, d, "orders").withColumns({
+        "price": F.floor(F.col("o_totalprice") / 10000), "month": F.month("o_orderdate"), "finished": F.when(F.col("o_orderstatus") == "F", 10).otherwise(0),
+        "open": F.when(F.col("o_orderstatus") == "O", 10).otherwise(0), "urgency": F.col("o_custkey") % 7, "place": F.col("o_custkey") % 40})
+    out = similar.similar_listings(o, o.filter("o_orderkey % 20 = 0"), "o_orderkey", "o_orderpriority", SIMILAR_FEATURES, "place", "o_orderdate", min_similarity=0.9995)
+    return out.select("seed", "rank", "key", F.round("similarity", 9).alias("similarity"), "popular")
+
+
+SQL["similar_listings"] = """WITH o AS (SELECT o_orderkey AS key, o_orderpriority AS city, o_custkey % 40 AS place, o_orderdate AS d, CAST(floor(o_totalprice / 10000) AS DOUBLE) a, CAST(month(o_orderdate) AS DOUBLE) b,
+CASE WHEN o_orderstatus = 'F' THEN 10e0 ELSE 0e0 END c, CASE WHEN o_orderstatus = 'O' THEN 10e0 ELSE 0e0 END e, CAST(o_custkey % 7 AS DOUBLE) u FROM orders),
+n AS (SELECT *, a * a + b * b + c * c + e * e + u * u AS nn FROM o),
+p AS (SELECT s.key AS seed, x.key, (s.a * x.a + s.b * x.b + s.c * x.c + s.e * x.e + s.u * x.u) / sqrt(s.nn * x.nn) AS sim FROM n s JOIN n x ON s.city = x.city AND s.key <> x.key WHERE s.key % 20 = 0),
+near AS (SELECT * FROM p WHERE sim >= 0.9995), served AS (SELECT seed FROM near GROUP BY seed HAVING count(*) >= 5),
+best AS (SELECT seed, CAST(row_number() OVER (PARTITION BY seed ORDER BY sim DESC, key) AS INTEGER) AS rank, key, round(sim, 9) AS similarity, false AS popular FROM near SEMI JOIN served USING (seed)),
+sized AS (SELECT key, city, d, count(*) OVER (PARTITION BY city, place) AS size FROM o),
+instead AS (SELECT s.key AS seed, CAST(row_number() OVER (PARTITION BY s.key ORDER BY size DESC, x.d DESC, x.key) AS INTEGER) AS rank, x.key, CAST(NULL AS DOUBLE) AS similarity, true AS popular
+FROM o s JOIN sized x ON s.city = x.city AND s.key <> x.key WHERE s.key % 20 = 0 AND s.key NOT IN (SELECT seed FROM served))
+SELECT * FROM best WHERE rank <= 5 UNION ALL SELECT * FROM instead WHERE rank <= 5"""
