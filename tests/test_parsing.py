@@ -90,6 +90,15 @@ def test_money(spark, value, kind, want):
     assert one(spark, value, lambda c: v.money_text(c, F.lit(kind)), "double") == want
 
 
+def test_decimals_round_the_binary_value(spark):
+    found = [(k * 1000 + 5) / 10 ** places * sign for places in (1, 2, 3, 5) for k in (0, 1, 7, 77, 8123, 999_999) for sign in (1, -1)]
+    found += [0.125, 0.375, 2.5, 3.5, -0.5, 77.195, 48.175, 9.715, 0.995, 9.995, 99.95, 0.0, 1e15 + 0.5, 1e18, 12.3]
+    df = spark.createDataFrame([(x,) for x in found], "x double")
+    for places in (0, 1, 2, 4):
+        assert [r[0] for r in df.select(v.fixed_text(F.col("x"), places)).collect()] == [f"{x:.{places}f}" for x in found]
+    assert one(spark, 77195.0, lambda c: v.money_text(c, F.lit("Sale")), "double") == f"₹{77.195:.2f} Thousand" == "₹77.19 Thousand"
+
+
 def test_haversine(spark):
     row = spark.range(1).select(
         v.haversine_km(F.lit(28.4595), F.lit(77.0266), F.lit(19.0760), F.lit(72.8777)).alias("a"),
