@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import html
+import html.entities
+import re
 
 import pandas as pd
 from pyspark.sql import Column
@@ -21,6 +23,7 @@ SPACES = r"(?U)[\s\x1c-\x1f]+"
 TAG = r"<[^>]+>"
 LINK = r"https?://[^ ]+|www\.[^ ]+"
 MAIL = r"(?<![^ ])[^ ]+@[^ ]+"
+CLOSED_ENTITY = re.compile(r"&(?:#\d+|#[xX][0-9a-fA-F]+|\w+);")
 TRANSACTION_CODES = {1.0: "Sale", 2.0: "Rent"}
 MISSING_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
                   "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
@@ -88,12 +91,23 @@ def _decode_entities(s: pd.Series) -> pd.Series:
     return s.map(html.unescape, na_action="ignore")
 
 
-def clean_description(c: Column) -> Column:
+def _closed_entity(found: re.Match) -> str:
+    return html.unescape(found[0]) if found[0][1] == "#" or found[0][1:] in html.entities.html5 else found[0]
+
+
+@F.pandas_udf(T.StringType())
+def _decode_closed_entities(s: pd.Series) -> pd.Series:
+    return s.map(lambda x: CLOSED_ENTITY.sub(_closed_entity, x), na_action="ignore")
+
+
+def clean_description(c: Column, bare_entities: bool = True) -> Column:
     """Entities decoded; tags, links and mail addresses blanked; lower case; single spaces.
 
-    Only text containing ``&`` visits Python; the rest stays in the JVM.
+    ``bare_entities`` decodes known names without their semicolon too, as the surveyed cleaning does. Only text containing
+    ``&`` visits Python; the rest stays in the JVM.
     """
-    text = F.coalesce(_decode_entities(F.when(c.contains("&"), c)), c)
+    decode = _decode_entities if bare_entities else _decode_closed_entities
+    text = F.coalesce(decode(F.when(c.contains("&"), c)), c)
     for shape in (SPACES, TAG, LINK, MAIL):
         text = F.regexp_replace(text, shape, " ")
     return F.trim(F.regexp_replace(F.lower(text), " +", " "))

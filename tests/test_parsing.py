@@ -72,6 +72,14 @@ def test_location(spark):
     assert tuple(one(spark, raw, tx.location_parts)) == ("King's Road", "T1", 12)
 
 
+@pytest.mark.parametrize("raw,bare,closed", [
+    ("a &amp; b&amp", "a & b&", "a & b&amp"), ("x &ampy; &quot;z&quot; &copy", "x &y; \"z\" ©", "x &ampy; \"z\" &copy"), ("&#65;&#x42; &#67 &nope; &amp;lt;", "ab c &nope; &lt;", "ab &#67 &nope; &lt;"), (None, None, None),
+])
+def test_bare_entities(spark, raw, bare, closed):
+    assert one(spark, raw, tx.clean_description) == bare
+    assert one(spark, raw, lambda c: tx.clean_description(c, bare_entities=False)) == closed
+
+
 @pytest.mark.parametrize("raw,strip,want", [("4.0", True, "4"), ("004", True, "4"), ("004", False, "004"), ("09+", True, "9+"), ("0", True, "0"), ("B", True, "B")])
 def test_lookup_key(spark, raw, strip, want):
     assert one(spark, raw, lambda c: tx.lookup_key(c, strip)) == want
