@@ -1,9 +1,9 @@
 """Similar listings: for each listing of a stated query set the nearest others of its city by cosine, or its city's popular ones.
 
-The query set is broadcast in blocks of a checked size and listings stay where they lie, so a city with most of all rows
-costs no more than others. A first pass counts similarities in cells, narrower towards 1, and so finds each
-query's cut-off cell; a second pass keeps what lies in or above it. Results are exact, and only cell counts and
-few rows more than the result are shuffled.
+Equal vectors of a city are compared once, on both sides. The asked ones are broadcast in blocks of a checked size, so a city
+with most of all rows costs no more than others. A first pass counts similarities in cells, narrower towards 1, and so finds each
+query's cut-off cell; a second pass keeps what lies in or above it. Results are exact; listings are shuffled once, to find equal
+vectors, then only cell counts and few rows more than the result.
 """
 
 from __future__ import annotations
@@ -33,9 +33,8 @@ def _dot(a: str, b: str, n: int) -> Column:
     return reduce(lambda x, y: x + y, [F.col(f"{a}{i}") * F.col(f"{b}{i}") for i in range(n)])
 
 
-def _near(items: DataFrame, asked: DataFrame, n: int, min_similarity: float) -> DataFrame:
-    """Columns of ``asked``, key, similarity, cell: listings of the query's city that are similar enough, the query's own left out."""
-    pairs = items.join(F.broadcast(asked), F.col("city").eqNullSafe(F.col("q_city")) & (F.col("key") != F.col("seed")))
+def _scored(pairs: DataFrame, n: int, min_similarity: float) -> DataFrame:
+    """Pairs of a vector and an asked one with similarity and cell, those that are similar enough."""
     scored = pairs.withColumn("similarity", F.try_divide(_dot("v", "q", n), F.sqrt(F.col("v_norm") * F.col("q_norm")))).filter(F.col("similarity") >= min_similarity)
     return scored.withColumn("cell", F.floor(-CELLS * F.log2(F.greatest(1 - F.col("similarity"), F.lit(0.0)) + 1e-12)))
 
@@ -71,21 +70,41 @@ def similar_listings(
     row = F.struct(F.col(f"`{city}`").alias("q_city"), *_vector(features, "q"))
     asked = seeds.filter(F.col(f"`{key}`").isNotNull()).groupBy(F.col(f"`{key}`").alias("seed")).agg(F.min(row).alias("row")).select("seed", "row.*")
     asked = written(asked.withColumn("q_norm", _dot("q", "q", n)), "seeds")
-    size = asked.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(F.col("q_city").cast("string")), F.lit(0)) + 8 * (n + 8)), F.lit(0))).first()[0]
+
+    # equal vectors of a city are compared once: how many there are, and their least keys, as no seed needs more of them
+    vector = ["city", *[f"v{i}" for i in range(n)], "v_norm"]
+    copies = written(items.groupBy(*vector, "key").agg(F.count(F.lit(1)).alias("copies")), "listing_copies")
+    sizes = copies.groupBy(*vector).agg(F.sum("copies").alias("n"))
+    least = copies.withColumn("__p", F.row_number().over(Window.partitionBy(*vector).orderBy("key"))).filter(F.col("__p") <= top + 1)
+    least = least.groupBy(*vector).agg(F.collect_list(F.struct("key", F.least("copies", F.lit(top)).cast("int").alias("copies"))).alias("keys"))
+    vectors = written(keyed_join(sizes, least, vector, "inner"), "vectors")
+    question = ["q_city", *[f"q{i}" for i in range(n)], "q_norm"]
+    questions = written(asked.groupBy(*question).agg(F.min("seed").alias("of")), "questions")
+    asked = written(keyed_join(asked, questions, question, "inner"), "seeds_by_question")
+    size = questions.agg(F.coalesce(F.sum(F.coalesce(F.octet_length(F.col("q_city").cast("string")), F.lit(0)) + 8 * (n + 8)), F.lit(0))).first()[0]
     blocks = max(1, -(-size // block_bytes))
 
     def each_block(rows: DataFrame) -> DataFrame:
-        """``_near`` of all seeds, a pass over the listings for each block of them."""
-        part = F.pmod(F.xxhash64("seed"), F.lit(blocks))
-        return reduce(DataFrame.unionByName, [_near(items, rows.filter(part == b) if blocks > 1 else rows, n, min_similarity) for b in range(blocks)])
-
-    cells = written(each_block(asked).groupBy("seed", "cell").agg(F.count(F.lit(1)).alias("n")), "similarity_cells")
+        """Similar enough vectors of all questions, a pass over the vectors for each block of questions."""
+        part = F.pmod(F.xxhash64("of"), F.lit(blocks))
+        sides = [rows.filter(part == b) if blocks > 1 else rows for b in range(blocks)]
+        return reduce(DataFrame.unionByName, [_scored(vectors.join(F.broadcast(side), F.col("city").eqNullSafe(F.col("q_city"))), n, min_similarity) for side in sides])
+
+    cells = written(each_block(questions).groupBy("of", "cell").agg(F.sum("n").alias("n")), "similarity_cells")
+    same = copies.join(asked, (F.col("key") == F.col("seed")) & F.col("city").eqNullSafe(F.col("q_city")))
+    own = _scored(same, n, min_similarity).select("seed", "cell", (-F.col("copies")).alias("n"))
+    counts = asked.select("seed", "of").join(cells, "of").select("seed", "cell", "n").unionByName(own).groupBy("seed", "cell").agg(F.sum("n").alias("n")).filter("n > 0")
     upward = Window.partitionBy("seed").orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    above = cells.withColumn("above", F.sum("n").over(upward))
+    above = counts.withColumn("above", F.sum("n").over(upward))
     cut = above.groupBy("seed").agg(F.sum("n").alias("near"), F.coalesce(F.max(F.when(F.col("above") >= top, F.col("cell"))), F.min("cell")).alias("cut")).filter(F.col("near") >= enough)
     served = written(asked.join(cut.select("seed", "cut"), "seed"), "seeds_served")
+    open_ = questions.join(served.groupBy("of").agg(F.min("cut").alias("least_cut")), "of")
+    found = each_block(open_).filter(F.col("cell") >= F.col("least_cut")).select("of", "cell", "similarity", "keys")
+    listed = served.select("seed", "of", "cut").join(found, "of").filter(F.col("cell") >= F.col("cut")).select("seed", "similarity", F.inline("keys")).filter("key <> seed")
     by_seed = Window.partitionBy("seed").orderBy(F.desc("similarity"), "key")
-    best = each_block(served).filter(F.col("cell") >= F.col("cut")).select("seed", "key", "similarity").withColumn("rank", F.row_number().over(by_seed)).filter(F.col("rank") <= top)
+    first = listed.withColumn("rank", F.row_number().over(by_seed)).filter(F.col("rank") <= top).drop("rank")
+    each = first.select("seed", "key", "similarity", F.explode(F.sequence(F.lit(1), "copies")))
+    best = each.select("seed", "key", "similarity").withColumn("rank", F.row_number().over(by_seed)).filter(F.col("rank") <= top)
 
     unserved = asked.join(served.select("seed"), "seed", "left_anti").select("seed", "q_city")
     liked = popular_listings(listings, key, city, locality, recency, top + 1)

@@ -59,3 +59,10 @@ def test_empty_tables_and_seeds_that_are_no_listings(spark):
     entered = spark.createDataFrame([(-1, "hot", 1.0, 2.0, 3.0, None, None, None, None), (-2, "nowhere", 1.0, 2.0, 3.0, None, None, None, None)], SCHEMA)
     got = ask(df, entered)
     assert {r.seed for r in got} == {-1} and [r.similarity for r in got] == [pytest.approx(1.0)] * 5
+
+
+def test_equal_listings_are_compared_once(spark):
+    """Pairs grow with distinct vectors, not rows: 60,000 listings of 12 vectors, each asked for, would be 1.8 billion pairs a pass."""
+    df = spark.range(60_000).selectExpr("id", "cast(id % 2 AS string) AS city", "cast(id % 12 + 1 AS double) AS a", "1d AS b", "id % 5 AS area", "id AS listed")
+    got = similar_listings(df, df, "id", "city", ["a", "b"], "area", "listed", min_similarity=0.99999).filter("seed IN (0, 12, 59999)").orderBy("seed", "rank")
+    assert [(r.seed, r.key) for r in got.collect()] == [(0, k) for k in (12, 24, 36, 48, 60)] + [(12, k) for k in (0, 24, 36, 48, 60)] + [(59_999, k) for k in (11, 23, 35, 47, 59)]
