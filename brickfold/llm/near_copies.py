@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..operators.joins import attach
 from .blocks import spread
 from .common import arrow_batches, written
-from .simhash import components
+from .simhash import components, links
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -181,17 +181,23 @@ def near_copies(texts: DataFrame, width: int = SHINGLE, similarity: float = SIMI
     return components(edges.unionByName(found))
 
 
-def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", width: int = SHINGLE, similarity: float = SIMILARITY, fingerprints: bool = False) -> DataFrame:
     """One row of ``docs`` per component, the one of least (id, NULL last, and text digest); columns unchanged, whatever their names.
 
+    With ``fingerprints``, rows whose SimHash fingerprints link are copies too, and components run over both kinds of links.
+
     NULL texts are empty; rows without words are copies of each other. Rows with NULL or repeated ids are rows like any others: of a component
     one row stays, whichever ids it holds. An empty table gives an empty one.
     """
     kept_columns = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__own")
     rows = written(docs.select(kept_columns, F.monotonically_increasing_id().alias("__row")), "numbered_rows")
     rows = rows.withColumns({"__id": F.col("__own").getField(id_column), "__text": F.coalesce(F.col("__own").getField(text_column).cast("string"), F.lit(""))})
+    texts = rows.select(F.col("__row").alias("row"), F.col("__text").alias("text"))
     with arrow_batches(docs.sparkSession, BATCH_BYTES):
-        tree = written(near_copies(rows.select(F.col("__row").alias("row"), F.col("__text").alias("text")), width, similarity), "near_copies")
+        alike = links(texts) if fingerprints else None
+        tree = written(near_copies(texts, width, similarity), "near_copies")
+    if alike is not None:
+        tree = components(tree.select("low", "high").unionByName(alike))
     members = tree.select("low", F.col("high").alias("__row")).unionByName(tree.select("low", F.col("low").alias("__row")).distinct())
     named = rows.select("__row", F.struct(F.col("__id").isNull().alias("none"), F.col("__id").alias("id"), F.xxhash64("__text").alias("digest"), F.col("__row").alias("row")).alias("rank"))
     ranked = written(members.join(named, "__row"), "ranked_members")

@@ -226,6 +226,13 @@ def components_of(prints: DataFrame) -> DataFrame:
     return written(named.select("fp", "root", "n", F.coalesce("component_id", "least").alias("component_id")), "named_fingerprints")
 
 
+def links(rows: DataFrame) -> DataFrame:
+    """(low, high) for ``rows`` (row, text): each row that is not its component's smallest, with the smallest."""
+    prints = written(rows.select(F.col("row").alias("id"), F.arrow_udf(_fingerprints, "long")(F.col("text")).alias("fp")), "row_fingerprints")
+    named = attach(prints, components_of(prints), ["fp"], rows_col="n", null_safe=False)
+    return written(named.filter("component_id < id").select(F.col("component_id").alias("low"), F.col("id").alias("high")), "fingerprint_links")
+
+
 def near_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """One row of ``docs`` per component, the one of least (id, NULL last, and text digest); columns unchanged, whatever their names.
 

@@ -24,8 +24,8 @@ def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row of each component of texts whose five-word shingles are alike to 0.8 or more."""
-    return near_copies.near_dedup(docs)
+    """One row of each component of texts whose SimHash fingerprints link, as in ``op1_simhash``, or whose five-word shingles are alike to 0.8 or more."""
+    return near_copies.near_dedup(docs, fingerprints=True)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -222,6 +222,18 @@ def test_pipeline_drops_near_copies_of_five_word_shingles(spark):
     assert kept == sorted(set(jaccard_components(texts)))
 
 
+def test_pipeline_drops_texts_of_linked_fingerprints(spark):
+    """Repeats outweigh the tails in the fingerprints, not in the sets of shingles; a chain runs over both kinds of links."""
+    import corpus_pipeline
+
+    tail = lambda k: [f"{k}tail{i}" for i in range(30)]
+    texts = [" ".join(["a", "b", "c"] * 400 + tail(k)) for k in "xy"]
+    texts += [" ".join(["a", "b", "c"] * 400 + tail("y")[:-1] + ["end"]), "another text of few words"]
+    assert (brute_print(texts[0]) ^ brute_print(texts[1])).bit_count() <= 3 and len(set(jaccard_components(texts))) == 3
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert sorted(r.doc_id for r in corpus_pipeline.drop_near_copies(spark, docs, "").collect()) == [0, 3]
+
+
 def test_near_dedup_with_clashing_columns_nulls_and_repeated_ids(spark, empty):
     from brickfold.llm import near_copies
 
