@@ -301,3 +301,25 @@ def test_registered_training_is_not_cut(spark, monkeypatch):
     assert fitted == [("random_forest", 200), ("gradient_boosting", 200)] and {"num__p_retailprice", "num__l_tax"} <= inputs and any(x.startswith("cat__city") for x in inputs)
     assert {r.segment for r in loading.train_and_pick(spark, folder).collect()} == {"rent", "sale"}
     assert segments == [("rent", {}), ("sale", {})]
+
+
+def test_training_rows_are_dealt_to_every_core(spark, tmp_path):
+    """A matrix of one row group kept a whole forest on one core."""
+    from brickfold.session import spread
+    from brickfold.workload import modelling
+
+    cores = spark.sparkContext.defaultParallelism
+    folder = str(tmp_path)
+    spark.range(8000).selectExpr("id AS l_orderkey", "1 AS l_linenumber", "id % 50 AS l_partkey", "id % 9 AS l_suppkey", "'A' AS l_returnflag", "'O' AS l_linestatus", "id * 1.5D AS l_extendedprice",
+                                 "1D + id % 50 AS l_quantity", "0.01D * (id % 11) AS l_discount", "0.01D * (id % 9) AS l_tax", "date'1995-01-01' AS l_shipdate").write.parquet(f"{folder}/lineitem.parquet")
+    spark.range(50).selectExpr("id AS p_partkey", "cast(id AS int) AS p_size", "id * 2D AS p_retailprice", "'SMALL' AS p_type", "'b' AS p_brand").write.parquet(f"{folder}/part.parquet")
+    matrix, _ = modelling._matrix(spark, folder)
+    held = [r["n"] for r in matrix.groupBy(F.spark_partition_id()).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(held) == 8000 and len(held) >= cores and max(held) < 2 * 8000 / cores
+    copies = spark.range(10).selectExpr("id % 2 AS k", "cast(NULL AS string) AS t")
+    assert sorted(r["k"] for r in spread(copies).collect()) == [0] * 5 + [1] * 5 and spread(copies.filter("k > 5")).count() == 0
+
+
+def test_fits_cut_their_lineage_in_the_scratch_folder(spark):
+    models.fit_all(spark.range(3), {})
+    assert spark.sparkContext.getCheckpointDir()
