@@ -141,3 +141,12 @@ def test_parse_failures_of_sources_of_different_shape(spark):
     counts = {tuple(r) for r in parse_failures.listing_failures({"one": one, "two": two, "none": none}).collect()}
     assert counts == {("one", "PRICE", "Call", 1), ("one", "AREA", "9 acres", 2), ("two", "PRICE", "later", 1)}
     assert parse_failures.listing_failures({"none": none}).count() == 0
+
+
+def test_lookup_codes_meet_a_pattern_only_when_it_can_change_them(spark):
+    codes = ["4", "4.0", "4.00", "-4.0", "004", "0", "00", "0.0", "00.0", "-0.0", "1.50", "4.0\n", " 07 ", "a0.0", "0a", "00a", "", ".", "4.", "10", "1000.0", None]
+    df = spark.createDataFrame([(c,) for c in codes], "c string")
+    plain = F.regexp_replace(F.trim("c"), r"^(-?\d+)\.0+$", "$1")
+    for strip, want in ((True, F.regexp_replace(plain, r"^0+(?=\d)", "")), (False, plain)):
+        assert all(r[0] == r[1] for r in df.select(tx.lookup_key(F.col("c"), strip), want).collect())
+    assert "CASE WHEN contains" in str(tx.lookup_key(F.col("c")))
