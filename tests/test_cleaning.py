@@ -158,3 +158,24 @@ def test_profile_samples_and_counts(spark):
     r = {x["column"]: x for x in profile.profile_columns(df).collect()}
     assert (r["c"]["null_count"], r["c"]["distinct_count"], r["c"]["sample_values"], r["c"]["null_pct"]) == (10, 6, "1|2|3|4|5", 14.2857)
     assert r["PHOTO_URL"]["pii_risk"] and r["PHOTO_URL"]["dtype"] == "int"
+
+
+def test_only_rows_whose_key_occurs_again_are_merged(spark):
+    """Each merged row carries a rank for every column through the shuffle; single rows need none of it."""
+    from brickfold.session import written
+
+    rows = written(spark.range(1000).selectExpr("CASE WHEN id < 10 THEN ' twice ' WHEN id = 10 THEN ' ' ELSE concat(' k', id) END AS listing_id", "cast(NULL AS string) AS register_date",
+                                                "CASE WHEN id <> 3 THEN id END AS a", "array(cast(id AS string), NULL) AS b", "id AS row_order"), "listings")
+    merged = []
+
+    def merge(part):
+        merged.append(part.count())
+        return part.groupBy("key").agg(F.max("a").alias("a"))
+
+    keyed = rows.select(F.trim("listing_id").alias("key"), "a", F.lit(1).alias("__rank")).filter("key <> ''")
+    assert dedup._merge_repeated(keyed, "key", ["a"], merge).count() == 990 and merged == [10]
+    for mode in ("coalesce", "row"):
+        got = {r["listing_id"]: (r["a"], r["b"]) for r in dedup.deduplicate(rows, mode=mode).collect()}
+        # the same through the one aggregate that a table costly to read twice takes
+        whole = {r["listing_id"]: (r["a"], r["b"]) for r in dedup.deduplicate(rows.distinct(), mode=mode).collect()}
+        assert got == whole and len(got) == 990 and got["twice"] == (0, ["0", None]) and got["k11"] == (11, ["11", None])
