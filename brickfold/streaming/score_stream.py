@@ -15,11 +15,14 @@ def _start(
     requests: DataFrame, judge: Callable[[DataFrame], tuple[DataFrame, DataFrame]], log_path: str, reject_path: str, checkpoint: str,
     id_cols: tuple[str, ...], available_now: bool,
 ) -> StreamingQuery:
-    """``judge`` gives the log rows and the rejected rows of a validated micro-batch; a replayed batch rewrites only its own folders."""
+    """``judge`` gives the log rows and the rejected rows of a validated micro-batch; a replayed batch rewrites only its own folders.
+
+    The rows of a batch, often one or two files, are dealt to all cores before they are scored.
+    """
     checked = validate_requests(requests, id_cols)
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch.persist()
+        batch = batch.repartition(batch.sparkSession.sparkContext.defaultParallelism).persist()
         try:
             log, rejected = judge(batch)
             log.write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")

@@ -323,3 +323,9 @@ def test_training_rows_are_dealt_to_every_core(spark, tmp_path):
 def test_fits_cut_their_lineage_in_the_scratch_folder(spark):
     models.fit_all(spark.range(3), {})
     assert spark.sparkContext.getCheckpointDir()
+
+
+def test_protocol_split_is_computed_once(spark):
+    """Its size check read the whole split once more than its reader did."""
+    out = split.protocol_split(spark.range(200).selectExpr("id", "'c' AS city"), ["city"], F.col("id"))
+    assert out.inputFiles() and out.filter("split = 'train'").count() == 140
