@@ -8,6 +8,14 @@ from pyspark.sql import functions as F
 from brickfold.llm import bpe, exact, mixing, near_copies, toxicity
 from brickfold.session import written
 
+#: Bytes that any stage hands Python at a time.
+BATCH_BYTES = 4 << 20
+
+
+def bounded(spark: SparkSession) -> None:
+    """Stages run only when their result is written, so the setting has to stay: executors hold no more of such batches at once, whatever a row's width."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
 
 def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
@@ -15,6 +23,7 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose toxicity stays below the threshold."""
+    bounded(spark)
     return toxicity.drop_toxic(docs, labels(spark, sf_dir))
 
 
@@ -35,6 +44,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, ids, n_tokens, ids_sha256, decoded_sha256 of each row."""
+    bounded(spark)
     coded = bpe.decode_ids(bpe.encode_texts(docs.select("doc_id", "lang", "source", "text"), "text", "ids"), "ids", "decoded")
     return coded.select("doc_id", "lang", "source", "ids", *bpe.digests(F.col("ids"), F.col("decoded")))
 

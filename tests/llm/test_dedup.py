@@ -1,4 +1,5 @@
 import hashlib
+import os
 import random
 import re
 from collections import Counter
@@ -244,3 +245,52 @@ def test_near_dedup_with_clashing_columns_nulls_and_repeated_ids(spark, empty):
     assert out.columns == df.columns
     assert sorted(r["__row"] for r in out.collect()) == ["a", "b", "f", "h"]
     assert near_copies.near_dedup(empty).count() == 0 and near_copies.near_dedup(empty).columns == empty.columns
+
+
+def test_parity_sketches_never_exceed_the_differences():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 63, 64, 65, 500, 5000):
+        a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+        for change in (0, 1, n // 9, n // 2, n):
+            b = np.unique(np.concatenate([a[change:], rng.integers(0, 2**63, change // 2, dtype=np.uint64)]))
+            found = near_copies.least_differences(near_copies.parity_sketch(a), near_copies.parity_sketch(b))
+            assert found <= len(np.setxor1d(a, b)) and found == near_copies.least_differences(near_copies.parity_sketch(b), near_copies.parity_sketch(a))
+            assert change or not found
+    unlike = [rng.integers(0, 2**63, 1000, dtype=np.uint64) for _ in range(2)]
+    assert near_copies.least_differences(*map(near_copies.parity_sketch, unlike)) * 9 > 2000
+
+
+def test_unlike_rows_of_a_bucket_are_told_apart_without_their_whole_sets(spark, monkeypatch):
+    """Halves are shared, so that rows meet by their first shingles; only the two that are alike may need whole sets. What was needed only on the way is gone at the end."""
+    rng = random.Random(5)
+    half = [f"h{i}" for i in range(60)]
+    texts = [" ".join(half + [f"{k}w{rng.randrange(10**6)}" for _ in range(50)]) for k in range(12)]
+    texts.append(texts[3] + " end")
+    sizes, folders, write = {}, {}, near_copies.written
+
+    def noted(df, name="state"):
+        out = write(df, name)
+        sizes[name] = sizes.get(name, 0) + out.count()
+        folders.setdefault(name, []).extend({re.sub("^file:/+", "/", f).rsplit("/", 1)[0] for f in out.inputFiles()})
+        return out
+
+    monkeypatch.setattr(near_copies, "written", noted)
+    df = spark.createDataFrame(list(enumerate(texts)), "row long, text string").repartition(2)
+    assert {(r.low, r.high) for r in near_copies.near_copies(df).collect()} == {(3, 12)}
+    assert sizes["candidate_pairs"] > 30 and sizes["candidate_sets"] == 2
+    for name in ("shingle_sketch", "prefix_entries", "shared_shingles", "shared_entries", "candidate_pairs", "candidate_sets", "open_entries", "set_digests"):
+        assert not any(os.path.exists(f) for f in folders.get(name, [])), name
+
+
+def test_lazy_pipeline_stages_hand_python_small_batches(spark):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        texts = spark.createDataFrame([(i, "x" * 1_000_000, "en", "web") for i in range(12)], "doc_id long, text string, lang string, source string").coalesce(1)
+        corpus_pipeline.encode(spark, texts, "")
+        sizes = texts.mapInArrow(lambda batches: (b.select(["doc_id"]).slice(0, 1) for b in batches), "doc_id long")
+        assert sizes.count() >= 3
+    finally:
+        spark.conf.set(key, before)
