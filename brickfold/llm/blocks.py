@@ -15,7 +15,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_partitions, text_of
+from .common import shuffle_partitions, spread, text_of
 
 BLOCK_BYTES = 8 << 20
 
@@ -66,18 +66,12 @@ def flags(data: bytes, n: int) -> np.ndarray:
     return np.unpackbits(np.frombuffer(data, np.uint8), count=n).astype(bool)
 
 
-def spread(keys: np.ndarray) -> np.ndarray:
-    """A one-to-one scrambling of 64-bit keys, so that their leading bits are evenly dealt."""
-    k = keys.astype(np.uint64, copy=True)
-    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
-        k ^= k >> np.uint64(shift)
-        k *= np.uint64(factor)
-    return k ^ (k >> np.uint64(31))
-
-
 def shard_edges(sorted_keys: np.ndarray, shard_bits: int) -> np.ndarray:
     """Where each shard, a range of leading bits, begins among sorted 64-bit keys; one more entry for the end."""
     if not shard_bits:
         return np.array([0, len(sorted_keys)])
     starts = np.arange(1 << shard_bits, dtype=np.uint64) << np.uint64(64 - shard_bits)
     return np.append(np.searchsorted(sorted_keys, starts), len(sorted_keys))
+
+
+__all__ = ["BLOCK_BYTES", "Blocked", "bits", "blocked", "flags", "in_order", "pack", "shard_edges", "spread", "unpack"]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 from contextlib import contextmanager
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,4 +44,13 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-__all__ = ["GAPS", "arrow_batches", "documents", "id_and_text", "shuffle_partitions", "text_of", "written"]
+def spread(keys: np.ndarray) -> np.ndarray:
+    """A one-to-one scrambling of 64-bit keys, so that their leading bits are evenly dealt."""
+    k = keys.astype(np.uint64, copy=True)
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        k ^= k >> np.uint64(shift)
+        k *= np.uint64(factor)
+    return k ^ (k >> np.uint64(31))
+
+
+__all__ = ["GAPS", "arrow_batches", "documents", "id_and_text", "shuffle_partitions", "spread", "text_of", "written"]

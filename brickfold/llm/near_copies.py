@@ -22,8 +22,7 @@ from pyspark.sql import functions as F
 
 from ..operators.joins import BROADCAST_LIMIT_BYTES, attach
 from ..session import plan_bytes, release
-from .blocks import spread
-from .common import arrow_batches, written
+from .common import arrow_batches, spread, written
 from .simhash import components, links
 
 SHINGLE = 5
@@ -34,7 +33,7 @@ COMMON = 4
 #: Parts of the sketch that are added up apart.
 PARTS = 64
 #: Bytes of texts or sets that Python is handed at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 512 << 10
 #: Rows beyond which a bucket is first tried by STARS single rows.
 LARGE = 64
 STARS = 3

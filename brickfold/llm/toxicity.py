@@ -15,7 +15,6 @@ from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,7 +30,9 @@ THRESHOLD = 0.3
 #: Logit of a sentence whose features say nothing: fixed, for a learnt one rises with what no word explains, once a sentence.
 BIAS = -7.0
 #: Bytes of training texts that Python is handed at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 512 << 10
+#: Words whose features a worker keeps, in each of two halves; looking a word up anew is cheap.
+WORDS = 1 << 15
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"\w+")
 ROUNDS = 400
@@ -49,7 +50,7 @@ class Model:
     leak: float  # as a logit, once a document
 
     def __post_init__(self):
-        object.__setattr__(self, "known", Remembered(lambda w: tuple(f for f in features(w) if f in self.weights)))
+        object.__setattr__(self, "known", Remembered(lambda w: tuple(f for f in features(w) if f in self.weights), most=WORDS))
 
     def __reduce__(self):
         return Model, (self.bias, self.weights, self.leak)
@@ -128,13 +129,14 @@ def fit(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_colu
     own = docs.select(F.col(id_column).alias("__i"), text_of(text_column).alias("text"))
     rows = own.join(F.broadcast(drawn), F.col("__i") == F.col("__k")).select("text", F.col("__y").alias("toxic"))
 
-    def learn(parts):
-        got = pd.concat(list(parts) or [pd.DataFrame({"text": [], "toxic": []})]).sort_values(["text", "toxic"])
-        model = train(got["text"].tolist(), [int(x > 0) for x in got["toxic"]])
-        yield pd.DataFrame({"word": [None, *model.weights], "weight": [model.bias, *model.weights.values()], "leak": model.leak})
+    def learn(batches):
+        got = sorted((text, int(y > 0)) for batch in batches for text, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()))
+        model = train([text for text, _ in got], [y for _, y in got])
+        words, weights = [None, *model.weights], [model.bias, *model.weights.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(weights, pa.float64()), pa.array([model.leak] * len(words), pa.float64())], names=["word", "weight", "leak"])
 
     with arrow_batches(docs.sparkSession, BATCH_BYTES):
-        found = rows.repartition(1).mapInPandas(learn, "word string, weight double, leak double").collect()  # at most VOCABULARY + 1 rows
+        found = rows.repartition(1).mapInArrow(learn, "word string, weight double, leak double").collect()  # at most VOCABULARY + 1 rows
     fixed = [(r.weight, r.leak) for r in found if r.word is None]
     bias, leak = fixed[0] if fixed else (BIAS, BIAS)
     return Model(bias, {r.word: r.weight for r in found if r.word is not None}, leak)

@@ -9,7 +9,7 @@ from brickfold.llm import bpe, exact, mixing, near_copies, toxicity
 from brickfold.session import written
 
 #: Bytes that any stage hands Python at a time.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 512 << 10
 
 
 def bounded(spark: SparkSession) -> None:

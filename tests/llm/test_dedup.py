@@ -2,13 +2,15 @@ import hashlib
 import os
 import random
 import re
+import subprocess
+import sys
 from collections import Counter
 
 import numpy as np
 import pytest
 import xxhash
 
-from brickfold.llm import exact, near_copies, simhash, substrings, suffixes
+from brickfold.llm import exact, near_copies, simhash, substrings, suffixes, toxicity
 
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -294,3 +296,31 @@ def test_lazy_pipeline_stages_hand_python_small_batches(spark):
         assert sizes.count() >= 3
     finally:
         spark.conf.set(key, before)
+
+
+def test_pipeline_stages_hand_python_at_most_a_few_hundred_kilobytes(spark):
+    import corpus_pipeline
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key)
+    try:
+        texts = spark.createDataFrame([(i, "x" * 300_000, "en", "web") for i in range(12)], "doc_id long, text string, lang string, source string").coalesce(1)
+        corpus_pipeline.encode(spark, texts, "")
+        assert texts.mapInArrow(lambda batches: (b.select(["doc_id"]).slice(0, 1) for b in batches), "doc_id long").count() >= 4
+        assert max(near_copies.BATCH_BYTES, toxicity.BATCH_BYTES) <= corpus_pipeline.BATCH_BYTES
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_python_workers_of_the_pipeline_load_no_pandas():
+    """It costs each worker some 27 MB."""
+    code = "import sys, brickfold.llm.bpe, brickfold.llm.near_copies, brickfold.llm.toxicity; print('pandas' in sys.modules)"
+    root = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    assert subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.strip() == "False"
+
+
+def test_scoring_keeps_few_words():
+    model = toxicity.Model(-7.0, {"bad": 3.0}, -6.0)
+    for at in range(0, 200_000, 1000):
+        model.sentences(" ".join(f"w{i}" for i in range(at, at + 1000)))
+    assert len(model.known) + len(model.known.old) <= 1 << 16 and model.sentences("bad.")[1]
